@@ -51,7 +51,7 @@ def period_kpis(period_summary: DataFrame, periodo: str, source: str | None = No
     )
     return totals.withColumn(
         "pct_sin_adj",
-        F.round(F.lit(100.0) * F.col("sin_adj_n") / F.nullif("adjudicados", F.lit(0)), 1),
+        F.round(F.lit(100.0) * F.col("sin_adj_n") / F.greatest("adjudicados", F.lit(1)), 1),
     )
 
 

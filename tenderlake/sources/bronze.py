@@ -98,6 +98,7 @@ def ingest_files(
     *,
     overwrite: bool = False,
     entry_tag: str = "entry",
+    pattern: str = "*.atom",
 ) -> tuple[dict[str, str], dict[str, str], int, int]:
     """Parse one round of files into Bronze.
 
@@ -117,7 +118,9 @@ def ingest_files(
     written: dict[str, int] = {}
     if fresh:
         hashes = spark.createDataFrame(list(fresh.items()), hash_schema)
-        parsed = parse_fragments(read_fragments(spark, literal_paths(fresh.values()), entry_tag=entry_tag))
+        parsed = parse_fragments(
+            read_fragments(spark, literal_paths(fresh.values()), entry_tag=entry_tag, pattern=pattern)
+        )
         seen = Observation()
         traced = with_trace(parsed, source, hashes).observe(
             seen, F.count_if(F.col(CORRUPT).isNotNull()).alias("malformed")
@@ -164,6 +167,7 @@ def ingest_folder(
     *,
     overwrite: bool = False,
     entry_tag: str = "entry",
+    pattern: str = "*.atom",
 ) -> IngestStats:
     """Ingest every feed file below ``folder`` that Bronze does not hold yet.
 
@@ -173,7 +177,7 @@ def ingest_folder(
     the earlier rows of the same content at the end. Files of zero length are not listed.
     """
     stats = IngestStats(source)
-    listing = list_files(spark, folder)
+    listing = list_files(spark, folder, pattern)
     stats.files_total = listing.count()
     unseen = listing
     if not overwrite:
@@ -184,7 +188,8 @@ def ingest_folder(
     for rows in _rounds(unseen):
         paths = [r.file_path for r in rows]
         hash_of, outcome, records, malformed = ingest_files(
-            spark, paths, source, bronze, quarantine, overwrite=overwrite, entry_tag=entry_tag
+            spark, paths, source, bronze, quarantine,
+            overwrite=overwrite, entry_tag=entry_tag, pattern=pattern,
         )
         stats.records += records
         stats.malformed_entries += malformed
