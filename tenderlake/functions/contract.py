@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,9 +20,14 @@ def _first_of(names: tuple[str, ...]) -> Column:
     return F.coalesce(*[F.col(n) for n in names])
 
 
-def _lookup(table: dict[str, str], key: Column) -> Column:
-    pairs = [F.lit(x) for pair in table.items() for x in pair]
-    return F.try_element_at(F.create_map(*pairs), key)
+def lookup(table: Mapping, key: Column) -> Column:
+    """Value of a small fixed table; NULL when the key is not in it."""
+    entries = ", ".join(f"{_sql(k)}, {_sql(v)}" for k, v in table.items())
+    return F.try_element_at(F.expr(f"map({entries})"), key)
+
+
+def _sql(value: str | int) -> str:
+    return str(value) if isinstance(value, int) else "'" + value.replace("'", "\\'") + "'"
 
 
 def buyer_match_key() -> Column:
@@ -45,7 +51,7 @@ def supplier_id() -> Column:
 
 def region_of_nuts(code: Column) -> Column:
     return F.coalesce(
-        _lookup(S.REGION_BY_NUTS2, F.substring(code, 1, 4)),
+        lookup(S.REGION_BY_NUTS2, F.substring(code, 1, 4)),
         F.when(code.startswith(S.CANARY_PREFIX), F.lit(S.CANARY_REGION)),
     )
 
@@ -58,7 +64,7 @@ def _plain(name: str) -> str:
 def region_of_name(name: Column) -> Column:
     """Official region name for a free spelling; NULL when unknown."""
     official = {_plain(r): r for r in S.REGION_BY_NUTS2.values()}
-    return _lookup({**official, **S.REGION_ALIASES}, fold_name(name))
+    return lookup({**official, **S.REGION_ALIASES}, fold_name(name))
 
 
 def status_rank(status: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tenderlake.operators import filters, overview, rankings, search, views
 from tenderlake.operators import alignment as A
 from tenderlake.operators import concentration as C
-from tenderlake.operators.canonical import canonical, latest_per_key
+from tenderlake.operators.canonical import latest_per_key
 from tenderlake.operators.outliers import price_outliers
 from tenderlake.operators.quantiles import exact_median
 from tenderlake.plans import ledger as L
@@ -49,11 +49,11 @@ def base_columns(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def canonical_contracts(spark: SparkSession, sf: str) -> DataFrame:
-    return silver_columns(canonical(L.base(spark, sf)))
+    return silver_columns(L.canonical_base(spark, sf))
 
 
 def canonical_contracts_keeping_unkeyed(spark: SparkSession, sf: str) -> DataFrame:
-    return silver_columns(canonical(L.base(spark, sf), keep_null_keys=True))
+    return silver_columns(L.canonical_base(spark, sf, keep_null_keys=True))
 
 
 def _events(df: DataFrame) -> DataFrame:

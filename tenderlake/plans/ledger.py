@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenderlake import schema as S
-from tenderlake.functions.contract import with_derived
+from tenderlake.functions.contract import lookup, with_derived
 from tenderlake.functions.text import record_year
 from tenderlake.operators.canonical import canonical
 from tenderlake.session import shared_folder
@@ -41,10 +41,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _choose(key: Column, table: dict) -> Column:
-    return F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key)
-
-
 def shifted_date(ts: Column) -> Column:
     """ISO date text moved into the analysis years."""
     return F.concat((F.year(ts) + YEAR_SHIFT).cast("string"), F.date_format(ts, "-MM-dd"))
@@ -66,7 +62,7 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     status, qty, price = F.col("o_orderstatus"), F.col("l_quantity"), F.col("l_extendedprice")
     done, pending = status.isin("F", "O"), status == "P"
-    source = _choose(F.col("l_returnflag"), SOURCE_OF_FLAG)
+    source = lookup(SOURCE_OF_FLAG, F.col("l_returnflag"))
     buyer = F.when(
         F.col("n_nationkey") < 24,
         F.concat(F.lit("P"), F.lpad(F.col("n_nationkey").cast("string"), 7, "0"), F.lit("X")),
@@ -98,7 +94,7 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         "organo_nombre": F.col("n_name"),
         "organo_id": F.when(~F.col("o_orderpriority").startswith("1"), buyer),
         "organo_nif": buyer,
-        "admin_hierarchy": _choose(F.col("c_mktsegment"), HIERARCHY_OF_SEGMENT),
+        "admin_hierarchy": lookup(HIERARCHY_OF_SEGMENT, F.col("c_mktsegment")),
         "objeto": F.when(name.contains("widget"), F.concat(F.lit("Acuerdo Marco de "), name)).when(
             ~name.contains("ring"), name
         ),
@@ -109,7 +105,7 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         "importe_total_con_iva": F.when(pending & (qty >= 15), F.col("p_retailprice")),
         "cpv": F.when(brand != "25", F.concat(F.lpad(brand, 2, "0"), F.lpad(size, 2, "0"), F.lit("0000"))),
         "territorio_nombre": F.col("n_name"),
-        "territorio_code": _choose(F.col("n_nationkey"), TERRITORY_OF_NATION),
+        "territorio_code": lookup(TERRITORY_OF_NATION, F.col("n_nationkey")),
         "n_resultados": F.when(done, 1).otherwise(0),
         "fecha_adjudicacion": awarded_on,
         "adjudicatario_nombre": F.when(done, F.col("s_name")),
@@ -131,6 +127,11 @@ def base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_derived(ledger(spark, sf_dir), REVIEW_ABOVE)
 
 
+def canonical_base(spark: SparkSession, sf_dir: str, *, keep_null_keys: bool = False) -> DataFrame:
+    chosen = canonical(ledger(spark, sf_dir), keep_null_keys=keep_null_keys)
+    return with_derived(chosen, REVIEW_ABOVE)
+
+
 _SILVER: dict[tuple[str, str], str] = {}
 
 
@@ -142,11 +143,11 @@ def silver(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     folder = shared_folder(spark)
     if folder is None:
-        return silver_columns(canonical(base(spark, sf_dir)))
+        return silver_columns(canonical_base(spark, sf_dir))
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _SILVER:
         path = f"{folder}/{key[0]}/silver-{uuid.uuid4().hex}"
-        write_silver(canonical(base(spark, sf_dir)), path)
+        write_silver(canonical_base(spark, sf_dir), path)
         _SILVER[key] = path
     return read_silver(spark, _SILVER[key])
 
@@ -170,6 +171,10 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _span(first: int, last: int) -> tuple[Column, Column]:
+    return F.lit(first).cast("bigint"), F.lit(last).cast("bigint")
+
+
 def _named_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations under a free spelling of the region they stand for."""
     spelled = {
@@ -179,17 +184,17 @@ def _named_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     aliases = {official: alias for alias, official in S.REGION_ALIASES.items()}
     spelled = {key: aliases.get(S.REGION_BY_NUTS2[code], spelled[key]) for key, code in enumerate(S.REGION_BY_NUTS2)}
     return read_table(spark, sf_dir, "nation").select(
-        "n_nationkey", F.coalesce(_choose(F.col("n_nationkey"), spelled), F.col("n_name")).alias("nombre")
+        "n_nationkey", F.coalesce(lookup(spelled, F.col("n_nationkey")), F.col("n_name")).alias("nombre")
     )
 
 
 def named_population(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers per nation as its population, a little more each year."""
     counts = read_table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n"))
-    years = F.explode(F.sequence(F.lit(2012), F.lit(2025)))
+    years = F.explode(F.sequence(*_span(2012, 2025)))
     return (
         counts.join(_named_regions(spark, sf_dir), F.expr("c_nationkey = n_nationkey"))
-        .select("nombre", "n", years.cast("bigint").alias("year"))
+        .select("nombre", "n", years.alias("year"))
         .withColumn("poblacion", F.col("n") + (F.col("year") - 2012) * 10)
         .select("nombre", "year", "poblacion")
     )
@@ -205,14 +210,14 @@ def central_government(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def regional_governments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    years = F.explode(F.sequence(F.lit(2012), F.lit(2026)))
+    years = F.explode(F.sequence(*_span(2012, 2026)))
     party = F.element_at(
         F.array(F.lit("PP"), F.lit("PSOE"), F.lit("PNV")),
         ((F.col("n_nationkey") + F.col("year")) % 3 + 1).cast("int"),
     )
     return (
         _named_regions(spark, sf_dir)
-        .select("n_nationkey", "nombre", years.cast("bigint").alias("year"))
+        .select("n_nationkey", "nombre", years.alias("year"))
         .select("nombre", "year", party.alias("partido_ccaa"))
     )
 

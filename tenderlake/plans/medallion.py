@@ -69,8 +69,8 @@ def build_silver(
     spark: SparkSession, lake: Lake, *, implausible_above: float = IMPLAUSIBLE_AMOUNT
 ) -> int:
     """Deduplicate Bronze into Silver; returns the number of canonical contracts."""
-    base = with_derived(bronze.read_bronze(spark, lake.bronze), implausible_above)
-    tables.write_silver(canonical(base), lake.silver)
+    chosen = canonical(bronze.read_bronze(spark, lake.bronze))
+    tables.write_silver(with_derived(chosen, implausible_above), lake.silver)
     return tables.read_silver(spark, lake.silver).count()
 
 

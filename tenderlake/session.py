@@ -18,6 +18,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.parquet.compression.codec": "zstd",
+    # Call-site capture costs a round trip per column expression.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -36,7 +36,7 @@ def normal(frame: pd.DataFrame) -> pd.DataFrame:
         if pd.api.types.is_float_dtype(kind) or pd.api.types.is_integer_dtype(kind):
             frame[c] = frame[c].map(lambda v: "" if pd.isna(v) else f"{float(v):.10g}")
         else:
-            frame[c] = frame[c].map(lambda v: "" if v is None or v is pd.NaT or v != v else str(v))
+            frame[c] = frame[c].map(lambda v: "" if pd.isna(v) else str(v))
     return frame.sort_values(list(frame.columns)).reset_index(drop=True)
 
 
@@ -55,7 +55,7 @@ def difference(spark_frame: pd.DataFrame, sql_frame: pd.DataFrame) -> str | None
 
 def main() -> int:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    spark, con = local_session("check", 8), connect(sf_dir)
+    spark, con = local_session("check", 8, **{"spark.driver.memory": "12g"}), connect(sf_dir)
     sql = E.oracle_sql()
     failed = 0
     for name, query in E.queries().items():
