@@ -35,18 +35,9 @@ def buyer_match_key() -> Column:
     return _first_of((*BUYER_IDS, "organo_nombre"))
 
 
-def _real_id(names: tuple[str, ...]) -> Column:
-    """First id given; placeholders without any digit 1-9 identify nobody."""
-    first = _first_of(names)
-    return F.when(first.rlike("[1-9]"), first)
-
-
-def buyer_id() -> Column:
-    return _real_id(BUYER_IDS)
-
-
-def supplier_id() -> Column:
-    return _real_id(SUPPLIER_IDS)
+def real_id(given: Column) -> Column:
+    """Placeholders without any digit 1-9 identify nobody."""
+    return F.when(given.rlike("[1-9]"), given)
 
 
 def region_of_nuts(code: Column) -> Column:
@@ -68,11 +59,7 @@ def region_of_name(name: Column) -> Column:
 
 
 def status_rank(status: Column) -> Column:
-    upper = F.upper(status)
-    ranked = None
-    for code, rank in S.STATUS_RANK.items():
-        ranked = F.when(upper == code, rank) if ranked is None else ranked.when(upper == code, rank)
-    return ranked.otherwise(0)
+    return F.coalesce(lookup(S.STATUS_RANK, F.upper(status)), F.lit(0))
 
 
 def comparable_amount() -> Column:
@@ -83,8 +70,8 @@ def is_framework(subject: Column) -> Column:
     return F.lower(F.coalesce(subject, F.lit(""))).contains("acuerdo marco")
 
 
-def government_level(hierarchy: Column) -> Column:
-    text = fold_accents(F.upper(F.coalesce(hierarchy, F.lit(""))))
+def government_level(text: Column) -> Column:
+    """Level from the folded upper-case hierarchy text."""
     return (
         F.when(text.like("%ADMINISTRACION GENERAL DEL ESTADO%"), "estatal")
         .when(text.like("%COMUNIDADES%AUTONOMAS%"), "autonomico")
@@ -113,15 +100,20 @@ def in_analysis_years(year: Column) -> Column:
 
 def with_derived(bronze: DataFrame, implausible_above: float = S.IMPLAUSIBLE_AMOUNT) -> DataFrame:
     """Bronze rows plus the ten derived columns every analysis builds on."""
-    return bronze.withColumns({
+    shared = bronze.withColumns({
+        "importe": comparable_amount(),
+        "_org": _first_of(BUYER_IDS),
+        "_adj": _first_of(SUPPLIER_IDS),
+        "_hierarchy": fold_accents(F.upper(F.coalesce("admin_hierarchy", F.lit("")))),
+    })
+    return shared.withColumns({
         "org_key": buyer_match_key(),
-        "org_id": buyer_id(),
-        "adj_id": supplier_id(),
+        "org_id": real_id(F.col("_org")),
+        "adj_id": real_id(F.col("_adj")),
         "ccaa": region_of_nuts(F.col("territorio_code")),
         "status_rank": status_rank(F.col("estado")),
-        "importe": comparable_amount(),
         "es_acuerdo_marco": is_framework(F.col("objeto")),
-        "es_anulada": F.upper(F.col("estado")) == "ANUL",
-        "revisar_importe": comparable_amount() > F.lit(implausible_above),
-        "organo_nivel": government_level(F.col("admin_hierarchy")),
-    })
+        "es_anulada": F.upper("estado") == "ANUL",
+        "revisar_importe": F.col("importe") > F.lit(implausible_above),
+        "organo_nivel": government_level(F.col("_hierarchy")),
+    }).drop("_org", "_adj", "_hierarchy")

@@ -15,7 +15,7 @@ from tenderlake.operators.canonical import latest_per_key
 from tenderlake.operators.outliers import price_outliers
 from tenderlake.operators.quantiles import exact_median
 from tenderlake.plans import ledger as L
-from tenderlake.session import shared_folder
+from tenderlake.session import shared_folder, tune
 from tenderlake.sources import dims
 from tenderlake.sources.bronze import ingest_folder, read_bronze
 from tenderlake.sources.feed import parse_fragments
@@ -204,6 +204,19 @@ def _per_capita(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    """Name -> query; each takes a session and the folder of the tables."""
+    return {name: _tuned(query) for name, query in _registered().items()}
+
+
+def _tuned(query: Query) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        tune(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+def _registered() -> dict[str, Query]:
     return {
         # Derived columns and deduplication
         "base_columns": base_columns,

@@ -16,7 +16,7 @@ from tenderlake import schema as S
 from tenderlake.functions.contract import lookup, with_derived
 from tenderlake.functions.text import record_year
 from tenderlake.operators.canonical import canonical
-from tenderlake.session import shared_folder
+from tenderlake.session import shared_folder, use_all_cores
 from tenderlake.sources.tables import contracts_of, read_silver, silver_columns, write_silver
 
 YEAR_SHIFT = 21
@@ -51,9 +51,9 @@ def _cents(c: Column) -> Column:
 
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All order lines as Bronze rows. Small dimensions are broadcast by Catalyst as sizes allow."""
+    """All order lines as Bronze rows. Dimensions are broadcast by Catalyst where their size allows."""
     lines = (
-        read_table(spark, sf_dir, "lineitem")
+        use_all_cores(read_table(spark, sf_dir, "lineitem"))
         .join(read_table(spark, sf_dir, "orders"), F.expr("l_orderkey = o_orderkey"))
         .join(read_table(spark, sf_dir, "customer"), F.expr("o_custkey = c_custkey"))
         .join(read_table(spark, sf_dir, "nation"), F.expr("c_nationkey = n_nationkey"))

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 # Rows a side may have to be broadcast once its size has been counted.
 BROADCAST_ROWS = 200_000
 
+# HotSpot leaves methods above this size interpreted; Spark then uses smaller generated methods.
+_METHOD_LIMIT = ("spark.sql.codegen.hugeMethodLimit", "8000")
+
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -20,6 +23,7 @@ SETTINGS = {
     "spark.sql.parquet.compression.codec": "zstd",
     # Call-site capture costs a round trip per column expression.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
+    _METHOD_LIMIT[0]: _METHOD_LIMIT[1],
 }
 
 
@@ -38,6 +42,11 @@ def local_session(app: str = "tenderlake", cpus: int | str = "*", **conf: Any) -
     return spark
 
 
+def tune(spark: SparkSession) -> None:
+    """Run-time settings for a session made elsewhere."""
+    spark.conf.set(*_METHOD_LIMIT)
+
+
 def shared_folder(spark: SparkSession) -> str | None:
     """Folder all executors can reach, as named by ``spark.checkpoint.dir``.
 
@@ -69,3 +78,9 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     """
     fits = df.limit(max_rows + 1).count() <= max_rows
     return F.broadcast(df) if fits else df
+
+
+def use_all_cores(scan: DataFrame) -> DataFrame:
+    """Spread a scan over the cores when its files give fewer tasks; large tables stay as read."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

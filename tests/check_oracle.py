@@ -55,7 +55,7 @@ def difference(spark_frame: pd.DataFrame, sql_frame: pd.DataFrame) -> str | None
 
 def main() -> int:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    spark, con = local_session("check", 8, **{"spark.driver.memory": "12g"}), connect(sf_dir)
+    spark, con = local_session("check", 8, **{"spark.driver.memory": "12g", "spark.sql.execution.arrow.pyspark.enabled": "true"}), connect(sf_dir)
     sql = E.oracle_sql()
     failed = 0
     for name, query in E.queries().items():
