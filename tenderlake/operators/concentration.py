@@ -6,39 +6,38 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tenderlake.functions.contract import legal_threshold
-from tenderlake.functions.money import exact_sum, money, share, unflagged
+from tenderlake.functions.money import money, share, unflagged
+from tenderlake.operators.grouping import named_totals
 from tenderlake.operators.overview import awarded
 from tenderlake.schema import MINOR_CONTRACTS
 
 
-def _clean_amount() -> Column:
-    return unflagged(F.col("revisar_importe"), F.col("importe"))
-
-
 def _top(name: str) -> Column:
     """Name of the largest group; equal groups are decided by name."""
     return F.max_by(F.col(name), F.struct("n", name))
 
 
+def _award_pairs(contracts: DataFrame, *keys: str) -> DataFrame:
+    """Awards per (buyer, supplier): names, count ``n`` and amount ``imp``."""
+    return named_totals(
+        contracts.where(F.col("adj_id").isNotNull() & F.col("org_id").isNotNull() & awarded()),
+        keys,
+        {"organo": "organo_nombre", "proveedor": "adjudicatario_nombre"},
+        {"n": F.lit(True)},
+        {"imp": unflagged(F.col("revisar_importe"), F.col("importe"))},
+    )
+
+
 def buyer_concentration(
     contracts: DataFrame, *, min_contracts: int = 20, limit: int = 200
 ) -> DataFrame:
     """Herfindahl index of award counts per (buyer, source), with the dominant supplier."""
-    pairs = (
-        contracts.where(F.col("adj_id").isNotNull() & F.col("org_id").isNotNull() & awarded())
-        .groupBy("org_id", "source", "adj_id")
-        .agg(
-            F.min("organo_nombre").alias("organo_nombre"),
-            F.min("adjudicatario_nombre").alias("proveedor"),
-            F.count("*").alias("n"),
-            exact_sum(_clean_amount()).alias("imp"),
-        )
-    )
+    pairs = _award_pairs(contracts, "org_id", "source", "adj_id")
     squares = F.sum(F.power("n", F.lit(2)))
     return (
         pairs.groupBy("org_id", "source")
         .agg(
-            F.min("organo_nombre").alias("organo_nombre"),
+            F.min("organo").alias("organo_nombre"),
             F.sum("n").alias("n_contratos"),
             F.count("*").alias("n_adjudicatarios"),
             money(F.col("imp")).alias("importe"),
@@ -62,20 +61,11 @@ def supplier_dependency(
     contracts: DataFrame, *, min_contracts: int = 10, limit: int = 200
 ) -> DataFrame:
     """Per supplier: amount, number of buyers and share of contracts from its main buyer."""
-    pairs = (
-        contracts.where(F.col("adj_id").isNotNull() & F.col("org_id").isNotNull() & awarded())
-        .groupBy("adj_id", "org_id")
-        .agg(
-            F.min("adjudicatario_nombre").alias("nombre"),
-            F.min("organo_nombre").alias("organo"),
-            F.count("*").alias("n"),
-            exact_sum(_clean_amount()).alias("imp"),
-        )
-    )
+    pairs = _award_pairs(contracts, "adj_id", "org_id")
     return (
         pairs.groupBy("adj_id")
         .agg(
-            F.min("nombre").alias("nombre"),
+            F.min("proveedor").alias("nombre"),
             F.sum("n").alias("n_contratos"),
             F.count("*").alias("n_organos"),
             money(F.col("imp")).alias("importe"),
@@ -107,24 +97,23 @@ def threshold_bunching(
     amount, threshold = F.col("importe_sin_iva"), legal_threshold(F.col("tipo_contrato"))
     near = (amount >= F.lit(band) * threshold) & (amount < threshold)
     return (
-        contracts.where(
-            (F.col("source") == source)
-            & amount.isNotNull()
-            & F.col("adj_id").isNotNull()
-            & F.col("org_id").isNotNull()
-        )
-        .groupBy("org_id", "adj_id")
-        .agg(
-            F.min("organo_nombre").alias("organo_nombre"),
-            F.min("adjudicatario_nombre").alias("adjudicatario_nombre"),
-            F.count_if(near).alias("n_cerca_umbral"),
-            money(F.when(near, amount)).alias("importe_cerca"),
-            F.count("*").alias("n_menores_total"),
+        named_totals(
+            contracts.where(
+                (F.col("source") == source)
+                & amount.isNotNull()
+                & F.col("adj_id").isNotNull()
+                & F.col("org_id").isNotNull()
+            ),
+            ["org_id", "adj_id"],
+            {"organo": "organo_nombre", "proveedor": "adjudicatario_nombre"},
+            {"n_cerca_umbral": near, "n_menores_total": F.lit(True)},
+            {"importe_cerca": F.when(near, amount)},
         )
         .where(F.col("n_cerca_umbral") >= min_near)
         .select(
-            F.col("org_id").alias("organo_id"), "organo_nombre", F.col("adj_id").alias("adj_key"),
-            "adjudicatario_nombre", "n_cerca_umbral", "importe_cerca", "n_menores_total",
+            F.col("org_id").alias("organo_id"), F.col("organo").alias("organo_nombre"),
+            F.col("adj_id").alias("adj_key"), F.col("proveedor").alias("adjudicatario_nombre"),
+            "n_cerca_umbral", F.round("importe_cerca", 2).alias("importe_cerca"), "n_menores_total",
         )
         .orderBy(
             F.col("n_cerca_umbral").desc(), F.col("importe_cerca").desc_nulls_last(), "organo_id", "adj_key"

@@ -5,22 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenderlake.functions.money import money
+from tenderlake.operators.grouping import named_totals
 from tenderlake.operators.overview import awarded, plausible_amount
 
 
 def top_suppliers(contracts: DataFrame, limit: int = 200) -> DataFrame:
     """Awarded amount per (supplier, source)."""
     return (
-        contracts.where(F.col("adj_id").isNotNull() & awarded())
-        .groupBy("adj_id", "source")
-        .agg(
-            F.min("adjudicatario_nombre").alias("nombre"),
-            F.count("*").alias("contratos"),
-            money(plausible_amount()).alias("importe"),
-            F.count_if("es_acuerdo_marco").alias("n_acuerdo_marco"),
+        named_totals(
+            contracts.where(F.col("adj_id").isNotNull() & awarded()),
+            ["adj_id", "source"],
+            {"nombre": "adjudicatario_nombre"},
+            {"contratos": F.lit(True), "n_acuerdo_marco": F.col("es_acuerdo_marco")},
+            {"importe": plausible_amount()},
+        )
+        .select(
+            "nombre", F.col("adj_id").alias("id"), "source", "contratos",
+            F.round("importe", 2).alias("importe"), "n_acuerdo_marco",
         )
-        .select("nombre", F.col("adj_id").alias("id"), "source", "contratos", "importe", "n_acuerdo_marco")
         .orderBy(F.col("importe").desc_nulls_last(), "id", "source")
         .limit(limit)
     )
@@ -29,14 +31,17 @@ def top_suppliers(contracts: DataFrame, limit: int = 200) -> DataFrame:
 def top_buyers(contracts: DataFrame, limit: int = 200) -> DataFrame:
     """Amount per (buyer, source)."""
     return (
-        contracts.where(F.col("org_id").isNotNull())
-        .groupBy("org_id", "source")
-        .agg(
-            F.min("organo_nombre").alias("nombre"),
-            F.count("*").alias("contratos"),
-            money(plausible_amount()).alias("importe"),
+        named_totals(
+            contracts.where(F.col("org_id").isNotNull()),
+            ["org_id", "source"],
+            {"nombre": "organo_nombre"},
+            {"contratos": F.lit(True)},
+            {"importe": plausible_amount()},
+        )
+        .select(
+            "nombre", F.col("org_id").alias("id"), "source", "contratos",
+            F.round("importe", 2).alias("importe"),
         )
-        .select("nombre", F.col("org_id").alias("id"), "source", "contratos", "importe")
         .orderBy(F.col("importe").desc_nulls_last(), "id", "source")
         .limit(limit)
     )

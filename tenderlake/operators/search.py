@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from tenderlake.functions.contract import in_analysis_years
 from tenderlake.functions.money import exact_sum, money
 from tenderlake.operators.filters import contract_filter
+from tenderlake.operators.grouping import named_totals
+from tenderlake.session import BROADCAST_ROWS, settle
 
 INDEX_COLUMNS = (
     "id_origen", "source", "source_file", "fichero", "estado", "year", "organo_nombre", "organo_nif",
@@ -45,7 +47,7 @@ def attach_files(found: DataFrame, manifest: DataFrame) -> DataFrame:
 
     Only manifest rows whose name occurs in the list are grouped.
     """
-    wanted = found.select("source", F.col("source_file").alias("basename")).distinct()
+    wanted = found.select("source", F.col("source_file").alias("basename"))
     files = (
         manifest.join(wanted, ["source", "basename"], "left_semi")
         .groupBy("source", F.col("basename").alias("source_file"))
@@ -81,6 +83,9 @@ def find_contracts(
     found = _largest(silver.where(contract_filter(filters)), limit)
     if manifest is None:
         return found
+    found = settle(found)
+    if limit <= BROADCAST_ROWS:
+        found = F.broadcast(found)
     return _largest(attach_files(found, manifest), limit)
 
 
@@ -107,13 +112,14 @@ def total_block(found: DataFrame) -> DataFrame:
 
 def supplier_block(found: DataFrame, limit: int = 10) -> DataFrame:
     return (
-        found.where(F.col("adj_id").isNotNull())
-        .groupBy("adj_id")
-        .agg(
-            F.min("adjudicatario_nombre").alias("nombre"),
-            money(F.col("importe")).alias("importe"),
-            F.count("*").alias("contratos"),
+        named_totals(
+            found.where(F.col("adj_id").isNotNull()),
+            ["adj_id"],
+            {"nombre": "adjudicatario_nombre"},
+            {"contratos": F.lit(True)},
+            {"importe": F.col("importe")},
         )
+        .withColumn("importe", F.round("importe", 2))
         .orderBy(F.col("importe").desc_nulls_last(), "adj_id")
         .limit(limit)
         .select("nombre", "importe", "contratos")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tenderlake import schema as S
 from tenderlake.functions.money import exact_sum
-from tenderlake.operators.overview import plausible_amount, awarded
+from tenderlake.operators.grouping import named_totals
+from tenderlake.operators.overview import awarded, plausible_amount
 
 CAPITAL_REGION = "Comunidad de Madrid"
 
@@ -90,13 +91,15 @@ def year_totals(series: DataFrame, year: int = S.FIRST_YEAR, source: str | None
 def supplier_ranking(contracts: DataFrame, source: str | None = None, n: int = 10) -> DataFrame:
     """Largest suppliers over all chosen sources, from the contracts themselves."""
     return (
-        of_source(contracts, source)
-        .where(F.col("adj_id").isNotNull() & awarded())
-        .groupBy(F.col("adj_id").alias("id"))
-        .agg(
-            F.min("adjudicatario_nombre").alias("nombre"),
-            _cents(plausible_amount()).alias("importe"),
-            F.count("*").alias("contratos"),
+        named_totals(
+            of_source(contracts, source).where(F.col("adj_id").isNotNull() & awarded()),
+            ["adj_id"],
+            {"nombre": "adjudicatario_nombre"},
+            {"contratos": F.lit(True)},
+            {"importe": F.coalesce(plausible_amount(), F.lit(0.0))},
+        )
+        .select(
+            F.col("adj_id").alias("id"), "nombre", F.round("importe", 2).alias("importe"), "contratos"
         )
         .orderBy(F.col("importe").desc(), "id")
         .limit(n)
