@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 from itertools import batched
 
@@ -91,7 +91,7 @@ def _rows_by_hash(spark: SparkSession, bronze: str, source: str, hashes: DataFra
 
 def ingest_files(
     spark: SparkSession,
-    paths: Sequence[str],
+    sizes: Mapping[str, int],
     source: str,
     bronze: str,
     quarantine: str,
@@ -100,13 +100,13 @@ def ingest_files(
     entry_tag: str = "entry",
     pattern: str = "*.atom",
 ) -> tuple[dict[str, str], dict[str, str], int, int]:
-    """Parse one round of files into Bronze.
+    """Parse one round of files (path -> size) into Bronze.
 
     Returns (hash by path, outcome by path, records written, malformed entries). A file whose
     content is already in Bronze, or appears twice in the round, is skipped.
     """
-    hash_of = {r.file_path: r.source_file_hash for r in hash_files(spark, paths).collect()}
-    outcome = {p: "error" for p in paths if p not in hash_of}
+    hash_of = hash_files(spark, sizes)
+    outcome = {p: "error" for p in sizes if p not in hash_of}
     first_path: dict[str, str] = {}
     for path in sorted(hash_of):
         first_path.setdefault(hash_of[path], path)
@@ -186,9 +186,9 @@ def ingest_folder(
         )
         unseen = listing.join(logged, ["file_path", "length", "modified"], "left_anti")
     for rows in _rounds(unseen):
-        paths = [r.file_path for r in rows]
+        sizes = {r.file_path: r.length for r in rows}
         hash_of, outcome, records, malformed = ingest_files(
-            spark, paths, source, bronze, quarantine,
+            spark, sizes, source, bronze, quarantine,
             overwrite=overwrite, entry_tag=entry_tag, pattern=pattern,
         )
         stats.records += records

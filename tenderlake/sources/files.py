@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Mapping
+from urllib.parse import quote
 
+import pandas as pd
+from pyarrow import fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tenderlake.functions.text import base_name, folder_year, plain_path
 from tenderlake.schema import MANIFEST_SCHEMA, SOURCES
 
+# Largest file read into one row for hashing.
+HASH_IN_MEMORY = 64 << 20
+
 LISTING = "file_path string, length bigint, modified timestamp"
 
 
@@ -36,22 +44,57 @@ def list_files(spark: SparkSession, root: str, pattern: str = "*.atom") -> DataF
     )
 
 
-def literal_paths(paths: Sequence[str]) -> list[str]:
+def literal_paths(paths: Iterable[str]) -> list[str]:
     """Paths with glob characters escaped, to be read exactly as named."""
     return [re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p in paths]
 
 
-def hash_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """SHA-256 of each file's content. Unreadable files have no row."""
-    files = (
-        spark.read.format("binaryFile")
-        .options(ignoreCorruptFiles="true", ignoreMissingFiles="true")
-        .load(literal_paths(paths))
-    )
-    return files.select(
-        plain_path(F.col("_metadata.file_path")).alias("file_path"),
-        F.sha2("content", 256).alias("source_file_hash"),
-    )
+def _streamed_sha256(piece: int = 1 << 20) -> Callable[[Column], Column]:
+    """SHA-256 of a path's content, read in pieces; NULL when the file cannot be read.
+
+    The function is made here so that it travels to the executors by value.
+    """
+
+    def digest(path: str) -> str | None:
+        total = hashlib.sha256()
+        try:
+            system, name = fs.FileSystem.from_uri(quote(re.sub("^file:/+", "file:///", path), safe=":/"))
+            with system.open_input_stream(name) as stream:
+                while part := stream.read(piece):
+                    total.update(part)
+        except (OSError, ValueError):
+            return None
+        return total.hexdigest()
+
+    def digests(paths: pd.Series) -> pd.Series:
+        return paths.map(digest)
+
+    return F.pandas_udf(digests, StringType())
+
+
+def hash_files(spark: SparkSession, sizes: Mapping[str, int]) -> dict[str, str]:
+    """SHA-256 of the content by path, for the files of one round with their sizes.
+
+    Files of ordinary size are hashed inside the JVM. A larger one would have to fit one row, so
+    it is streamed through constant memory instead, one task per file. Unreadable files are left
+    out of the result.
+    """
+    small = [p for p, size in sizes.items() if size <= HASH_IN_MEMORY]
+    large = [(p,) for p, size in sizes.items() if size > HASH_IN_MEMORY]
+    digests: dict[str, str] = {}
+    if small:
+        files = (
+            spark.read.format("binaryFile")
+            .options(ignoreCorruptFiles="true", ignoreMissingFiles="true")
+            .load(literal_paths(small))
+        )
+        path = plain_path(F.col("_metadata.file_path"))
+        digests |= {r[0]: r[1] for r in files.select(path, F.sha2("content", 256)).collect()}
+    if large:
+        listed = spark.createDataFrame(large, "path string").repartition(len(large), "path")
+        hashed = listed.select("path", _streamed_sha256()(F.col("path")).alias("sha256"))
+        digests |= {r.path: r.sha256 for r in hashed.where("sha256 is not null").collect()}
+    return digests
 
 
 def _below(path: Column, root: str) -> Column:

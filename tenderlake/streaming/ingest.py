@@ -29,13 +29,13 @@ def stream_feed(
         .schema("path string, modificationTime timestamp, length bigint, content binary")
         .options(recursiveFileLookup="true", pathGlobFilter=pattern, maxFilesPerTrigger=files_per_batch)
         .load(folder)
-        .select("path")
+        .select("path", "length")
     )
 
     def add(batch: DataFrame, _: int) -> None:
-        paths = [r.path for r in batch.collect()]  # at most files_per_batch names
-        if paths:
-            ingest_files(batch.sparkSession, paths, source, bronze, quarantine, pattern=pattern)
+        sizes = {r.path: r.length for r in batch.collect()}  # at most files_per_batch names
+        if sizes:
+            ingest_files(batch.sparkSession, sizes, source, bronze, quarantine, pattern=pattern)
 
     return (
         arrivals.writeStream.foreachBatch(add)

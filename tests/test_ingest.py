@@ -72,6 +72,19 @@ def test_trace_columns(spark, tmp_path):
     assert row.ingested_at.endswith("+00:00")
 
 
+def test_large_files_are_hashed_in_pieces(spark, tmp_path, monkeypatch):
+    import hashlib
+
+    paths = [X.write(tmp_path / f"in/grande ñ {i} [1].atom", X.entry(str(i), X.folder(f"G{i}"))) for i in range(3)]
+    sizes = {f"file:{p}": p.stat().st_size for p in paths}
+    in_memory = files.hash_files(spark, sizes)
+    monkeypatch.setattr(files, "HASH_IN_MEMORY", 10)
+    sizes[f"file:{tmp_path}/in/falta.atom"] = 99
+    streamed = files.hash_files(spark, sizes)
+    assert streamed == in_memory == {f"file:{p}": hashlib.sha256(p.read_bytes()).hexdigest() for p in paths}
+    assert run(spark, tmp_path).records == 3
+
+
 def test_missing_folder_is_empty(spark, tmp_path):
     stats = run(spark, tmp_path)
     assert (stats.files_total, stats.records) == (0, 0)

@@ -86,6 +86,21 @@ def test_find_inspect_and_stats(spark, lake):
     assert found.first().fichero == "placsp/encargos/2022/e.atom" and summary.first().n == 1
 
 
+def test_command_line(spark, lake, capsys):
+    from tenderlake.__main__ import _parser, run
+
+    def call(*words):
+        run(spark, _parser().parse_args(["--data", lake.data_root, "--lake", lake.root, *words]))
+        return capsys.readouterr().out
+
+    assert "placsp/encargos" in call("info")
+    assert "contratos_menores/2022/m2.atom" in call("find", "--adjudicatario", "b9", "--min-importe", "4000")
+    assert "2.0E11" in call("inspect", "E0", "--source", "encargos")
+    assert "Proveedor B9" in call("stats", "--nif", "B9")
+    assert "files_skipped=2" in call("ingest", "contratos_menores")
+    assert "E1" in call("parse-file", f"{lake.data_root}/contratos_menores/2021/m1.atom", "--limit", "2")
+
+
 def test_dimensions(spark, lake):
     alignment, population = M.read_dimensions(spark, lake)
     got = {r.year: r.alineado for r in alignment.collect()}
