@@ -26,7 +26,8 @@ def search_index(silver: DataFrame, manifest: DataFrame) -> DataFrame:
     """Silver without the contract text, plus the path of the feed file.
 
     The file in the folder of the contract's year is preferred, any file of that name comes next.
-    Both lookups are reduced to one path per key first, so a repeated file name adds no rows.
+    Paths are resolved once per (source, file, year) found in Silver, so the wide rows take part
+    in a single join and a repeated file name adds no rows.
     """
     in_year = manifest.groupBy(
         "source", F.col("basename").alias("source_file"), F.col("year_folder").alias("year")
@@ -34,12 +35,22 @@ def search_index(silver: DataFrame, manifest: DataFrame) -> DataFrame:
     anywhere = manifest.groupBy("source", F.col("basename").alias("source_file")).agg(
         F.min("relpath").alias("anywhere")
     )
-    return (
-        silver.join(in_year, ["source", "source_file", "year"], "left")
-        .join(anywhere, ["source", "source_file"], "left")
-        .withColumn("fichero", F.coalesce("in_year", "anywhere"))
-        .select(*INDEX_COLUMNS)
+    resolved = (
+        silver.select("source", "source_file", "year")
+        .distinct()
+        .join(in_year, ["source", "source_file", "year"], "left")
+        .join(anywhere, ["source", "source_file"])
+        .select(
+            F.col("source").alias("_source"), F.col("source_file").alias("_file"),
+            F.col("year").alias("_year"), F.coalesce("in_year", "anywhere").alias("fichero"),
+        )
+    )
+    same_file = (
+        (F.col("source") == F.col("_source"))
+        & (F.col("source_file") == F.col("_file"))
+        & F.col("year").eqNullSafe(F.col("_year"))
     )
+    return silver.join(resolved, same_file, "left").select(*INDEX_COLUMNS)
 
 
 def attach_files(found: DataFrame, manifest: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from tenderlake.functions.text import base_name, folder_year, plain_path
 from tenderlake.schema import MANIFEST_SCHEMA, SOURCES
 
 # Largest file read into one row for hashing.
-HASH_IN_MEMORY = 64 << 20
+HASH_IN_MEMORY = 16 << 20
 
 LISTING = "file_path string, length bigint, modified timestamp"
 
@@ -72,28 +72,36 @@ def _streamed_sha256(piece: int = 1 << 20) -> Callable[[Column], Column]:
     return F.pandas_udf(digests, StringType())
 
 
+def _hashed_in_memory(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
+    files = (
+        spark.read.format("binaryFile")
+        .options(ignoreCorruptFiles="true", ignoreMissingFiles="true")
+        .load(literal_paths(paths))
+    )
+    path = plain_path(F.col("_metadata.file_path"))
+    return files.select(path.alias("path"), F.sha2("content", 256).alias("sha256"))
+
+
 def hash_files(spark: SparkSession, sizes: Mapping[str, int]) -> dict[str, str]:
     """SHA-256 of the content by path, for the files of one round with their sizes.
 
-    Files of ordinary size are hashed inside the JVM. A larger one would have to fit one row, so
-    it is streamed through constant memory instead, one task per file. Unreadable files are left
-    out of the result.
+    Files of ordinary size are hashed inside the JVM, each as one row. Larger ones are streamed
+    through constant memory, one task per file; where the file system cannot be opened from
+    Python they too are read as rows. Files that cannot be read at all are left out.
     """
-    small = [p for p, size in sizes.items() if size <= HASH_IN_MEMORY]
-    large = [(p,) for p, size in sizes.items() if size > HASH_IN_MEMORY]
+
+    def collected(hashed: DataFrame) -> dict[str, str]:
+        return {r.path: r.sha256 for r in hashed.where("sha256 is not null").collect()}
+
+    large = [p for p, size in sizes.items() if size > HASH_IN_MEMORY]
     digests: dict[str, str] = {}
-    if small:
-        files = (
-            spark.read.format("binaryFile")
-            .options(ignoreCorruptFiles="true", ignoreMissingFiles="true")
-            .load(literal_paths(small))
-        )
-        path = plain_path(F.col("_metadata.file_path"))
-        digests |= {r[0]: r[1] for r in files.select(path, F.sha2("content", 256)).collect()}
     if large:
-        listed = spark.createDataFrame(large, "path string").repartition(len(large), "path")
-        hashed = listed.select("path", _streamed_sha256()(F.col("path")).alias("sha256"))
-        digests |= {r.path: r.sha256 for r in hashed.where("sha256 is not null").collect()}
+        listed = spark.createDataFrame([(p,) for p in large], "path string")
+        listed = listed.repartition(len(large), "path")
+        digests = collected(listed.select("path", _streamed_sha256()(F.col("path")).alias("sha256")))
+    rest = [p for p in sizes if p not in digests]
+    if rest:
+        digests |= collected(_hashed_in_memory(spark, rest))
     return digests
 
 

@@ -20,12 +20,13 @@ def silver(spark):
          "adjudicatario_nombre": "pérez hermanos", "adj_id": "B2", "organo_nif": "B1", "cpv": "1452",
          "revisar_importe": True, "es_acuerdo_marco": False},
         {"id_origen": "3", "source": "agregaciones", "source_file": "g.atom", "year": 2030, "importe": None},
+        {"id_origen": "4", "source": "encargos", "source_file": "f.atom", "importe": 1.0},
     ]
     return spark.createDataFrame([{**blank, **r} for r in rows], SILVER_SCHEMA)
 
 
 @pytest.mark.parametrize("filters, expected", [
-    ({}, {"1", "2", "3"}),
+    ({}, {"1", "2", "3", "4"}),
     ({"adjudicatario": "PÉREZ"}, {"1", "2"}),
     ({"adjudicatario": "p%l"}, {"1"}),
     ({"objeto": "OBRA"}, {"1"}),
@@ -72,7 +73,7 @@ def manifest(spark):
 
 def test_files_of_found_contracts(silver, manifest):
     rows = search.find_contracts(silver, {}, 10, manifest).collect()
-    assert [r.id_origen for r in rows] == ["2", "1", "3"]
+    assert [r.id_origen for r in rows] == ["2", "1", "4", "3"]
     by_id = {r.id_origen: r for r in rows}
     assert by_id["1"].fichero == "encargos/2020/a/f.atom"
     assert by_id["2"].fichero == "encargos/2019/f.atom"
@@ -84,14 +85,14 @@ def test_index_has_one_row_per_contract(silver, manifest):
     index = search.search_index(silver, manifest)
     assert index.columns == list(search.INDEX_COLUMNS) and "objeto" not in index.columns
     files = {r.id_origen: r.fichero for r in index.collect()}
-    assert files == {"1": "encargos/2020/a/f.atom", "2": "encargos/2019/f.atom", "3": None}
+    assert files == {"1": "encargos/2020/a/f.atom", "2": "encargos/2019/f.atom", "3": None, "4": "encargos/2019/f.atom"}
 
 
 def test_inspect_and_stats(silver):
     assert [r.id_origen for r in search.inspect_contract(silver, "1", "encargos").collect()] == ["1"]
     assert search.inspect_contract(silver, "1", "agregaciones").count() == 0
     blocks = search.filtered_stats(silver, {})
-    assert tuple(blocks["total"].first()) == (3, 40.0, 2, 1, 1, 1)
+    assert tuple(blocks["total"].first()) == (4, 41.0, 2, 1, 1, 1)
     assert [r.importe for r in blocks["top_adjudicatarios"].collect()] == [30.0, 10.0]
     assert [r.year for r in blocks["por_anio"].collect()] == [2020, 2021]
     assert tuple(search.search_summary(silver, {"year": 1990}).first()) == (0, 0.0, 0, 0)
