@@ -24,6 +24,22 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column])
     return ranked.where(F.col("_rn") == 1).drop("_rn")
 
 
+def with_match_keys(bronze: DataFrame) -> DataFrame:
+    """The two derived columns the choice of the canonical record needs."""
+    return bronze.withColumns({
+        "org_key": buyer_match_key(), "status_rank": status_rank(F.col("estado")),
+    })
+
+
+def latest_first(tie_break: Sequence[str] = TIE_BREAK) -> list[Column]:
+    """Most recent, then most advanced; ``updated`` is ISO text and sorts as text."""
+    return [
+        F.col("updated").desc_nulls_last(),
+        F.col("status_rank").desc(),
+        *[F.col(c).desc_nulls_last() for c in tie_break],
+    ]
+
+
 def canonical(
     bronze: DataFrame,
     *,
@@ -32,19 +48,13 @@ def canonical(
 ) -> DataFrame:
     """Most recent, most advanced record per (source, buyer, file id).
 
-    ``updated`` is ISO text and sorts as text. Rows without a file id form one group per buyer and
-    collapse to one row; ``keep_null_keys`` keeps them all instead. The tie-break columns make the
-    result independent of the input order.
+    Rows without a file id form one group per buyer and collapse to one row; ``keep_null_keys``
+    keeps them all instead. The tie-break columns make the result independent of the input order.
 
     Only the two columns the choice needs are derived here; the others follow on the surviving
     rows, several times fewer than were published.
     """
-    base = bronze.withColumns({"org_key": buyer_match_key(), "status_rank": status_rank(F.col("estado"))})
-    order = [
-        F.col("updated").desc_nulls_last(),
-        F.col("status_rank").desc(),
-        *[F.col(c).desc_nulls_last() for c in tie_break],
-    ]
+    base, order = with_match_keys(bronze), latest_first(tie_break)
     if not keep_null_keys:
         return latest_per_key(base, RECORD_KEY, order)
     keyed = base.where(F.col("id_origen").isNotNull())

@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tenderlake.operators.canonical import latest_per_key
+from tenderlake.operators.canonical import (
+    RECORD_KEY,
+    latest_first,
+    latest_per_key,
+    with_match_keys,
+)
+from tenderlake.schema import BRONZE_SCHEMA
 from tenderlake.sources.bronze import read_or_empty, write_partitioned
 
 
@@ -48,3 +54,17 @@ def stream_latest(
         .trigger(availableNow=True)
         .start()
     )
+
+
+def stream_contracts(
+    spark: SparkSession, bronze: str, table: str, checkpoint: str, *, buckets: int = 256
+) -> StreamingQuery:
+    """Keep the canonical record of every procurement file up to date with Bronze.
+
+    The table holds Bronze columns; derive the others from it as from Bronze. Rewritten Bronze
+    files are seen again and change nothing.
+    """
+    arrivals = spark.readStream.schema(BRONZE_SCHEMA).parquet(bronze)
+    return stream_latest(
+        with_match_keys(arrivals), table, checkpoint, RECORD_KEY, latest_first(), buckets=buckets
+    )

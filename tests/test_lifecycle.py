@@ -10,7 +10,7 @@ import feeds as X
 from tenderlake.plans import medallion as M
 from tenderlake.plans.marts import MART_NAMES
 from tenderlake.sources import dims, tables
-from tenderlake.streaming.canonical import stream_latest
+from tenderlake.streaming.canonical import stream_contracts, stream_latest
 
 
 def awarded(number, buyer, supplier, amount, **options):
@@ -123,6 +123,17 @@ def test_unknown_source(spark, lake):
         M.ingest(spark, lake, "nada")
 
 
+def test_streamed_contracts_equal_silver(spark, lake, tmp_path):
+    for _ in range(2):
+        stream_contracts(
+            spark, lake.bronze, f"{tmp_path}/t", f"{tmp_path}/c", buckets=4
+        ).awaitTermination()
+    columns = ["source", "id_origen", "entry_id", "updated", "estado", "adjudicatario_nif", "year"]
+    kept = spark.read.parquet(f"{tmp_path}/t").select(columns)
+    silver = tables.read_silver(spark, lake.silver).select(columns)
+    assert sorted(map(str, kept.collect())) == sorted(map(str, silver.collect()))
+
+
 def test_streamed_latest_state_equals_batch(spark, tmp_path):
     rows = [(k, v, f"2020-01-{v:02d}") for k in "abcde" for v in (3, 1, 2)] + [("a", 9, None)]
     df = spark.createDataFrame(rows, "k string, v int, at string")
