@@ -1,6 +1,6 @@
 """Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line.
 
-The JVM is warmed up first by the same queries on the smallest tables (not timed), so that the
+The JVM is warmed up first by the same queries on a tenth of the tables (not timed), so that the
 figures show throughput rather than class loading and compilation. ``value`` is the time to
 deduplicate all rows into Silver and to compute the fourteen marts from it.
 """
@@ -20,7 +20,7 @@ from tenderlake.plans.marts import MART_NAMES
 from tenderlake.session import local_session
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-WARM_UP_DIR = "/root/testdata/sf0.001"
+WARM_UP_DIR = "/root/testdata/sf0.01"
 CPUS = os.environ.get("BENCH_CPUS", "8")
 OTHERS = (
     "canonical_contracts", "base_columns", "latest_events", "find_by_supplier_text", "find_by_tax_id",

@@ -213,6 +213,9 @@ def ingest_folder(
 
 
 def compact_bronze(spark: SparkSession, bronze: str) -> DataFrame:
-    """Rewrite Bronze in place with few, evenly sized files; returns row counts per source."""
+    """Rewrite Bronze in place with few, evenly sized files; returns row counts per source.
+
+    Partitions are swapped when the job commits, so no ingest may run meanwhile.
+    """
     write_partitioned(read_bronze(spark, bronze), bronze, PARTITIONS, "overwrite")
     return read_bronze(spark, bronze).groupBy("source").agg(F.count("*").alias("filas"))

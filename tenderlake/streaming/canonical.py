@@ -29,13 +29,15 @@ def merge_latest(
     """
     spark = batch.sparkSession
     bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
-    newest = latest_per_key(batch, keys, order).withColumn("bucket", bucket)
-    touched = [r.bucket for r in newest.select("bucket").distinct().collect()]  # at most `buckets`
-    if not touched:
-        return
-    current = read_or_empty(spark, table, newest.schema).where(F.col("bucket").isin(touched))
-    merged = latest_per_key(current.select(newest.columns).unionByName(newest), keys, order)
-    write_partitioned(merged, table, ["bucket"], "overwrite")
+    newest = latest_per_key(batch, keys, order).withColumn("bucket", bucket).persist()
+    try:
+        touched = [r.bucket for r in newest.select("bucket").distinct().collect()]  # at most `buckets`
+        if touched:
+            current = read_or_empty(spark, table, newest.schema).where(F.col("bucket").isin(touched))
+            merged = latest_per_key(current.select(newest.columns).unionByName(newest), keys, order)
+            write_partitioned(merged, table, ["bucket"], "overwrite")
+    finally:
+        newest.unpersist()
 
 
 def stream_latest(
