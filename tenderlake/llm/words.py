@@ -55,11 +55,12 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers
 
 
-def words(data: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte positions where words start and end, and their hashes."""
+def words(data: np.ndarray, table: np.ndarray, beginnings: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
+    """Byte positions where words start and end, and their hashes; then, for each length in
+    ``beginnings``, the hashes of the words' first so many bytes."""
     none = np.zeros(0, dtype=np.int64)
     if not len(data):
-        return none, none, none.astype(_U)
+        return none, none, *[none.astype(_U)] * (1 + len(beginnings))
     low = FOLD[data]
     inside = np.zeros(len(low) + 2, dtype=bool)
     inside[1:-1] = table[low]
@@ -68,7 +69,11 @@ def words(data: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     power, root = _power_tables(len(low))
     sums = np.zeros(len(low) + 1, dtype=_U)
     np.cumsum(_VALUES[low] * power[: len(low)], out=sums[1:])
-    return starts, ends, mixed((sums[ends] - sums[starts]) * root[starts])
+    hashes = [mixed((sums[ends] - sums[starts]) * root[starts])]
+    for size in beginnings:
+        part = (sums[np.minimum(ends, starts + size)] - sums[starts]) * root[starts]
+        hashes.append(mixed(part + _U(size)))
+    return starts, ends, *hashes
 
 
 def texts(column: pa.Array) -> Iterator[np.ndarray | None]:
