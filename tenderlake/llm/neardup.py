@@ -9,9 +9,11 @@ within the limit share a key, and their full sets decide.
 
 Pairs of a group are never emitted. Texts with the same set become one node first. Then every node
 is compared with one centre, which joins a group of near copies of any size in work linear in it.
-Only keys whose members are still in different components are left; their members are laid out in
-blocks of bounded size, and pairs of blocks that share such a key are compared inside a task, which
-returns no more links than it takes to join their components.
+Only keys whose members are still in different components are left. Those of at most ``PAIRED``
+members give their pairs across components, no more than a fixed number for each member; pairs
+within the limit are confirmed by a join. The members of larger keys are laid out in blocks of
+bounded size, and pairs of blocks that share such a key are compared inside a task, which returns no
+more links than it takes to join their components.
 
 Defined cases: null or empty texts, or texts without words, have no set and link with nothing; a
 text of fewer words than a shingle is one shingle. Repeated rows are copies of each other. A null
@@ -37,7 +39,8 @@ from tenderlake.llm.storage import stored
 
 CHUNK = 4  # slots in a chunk, of which one may be wrong
 MISS = 1e-6  # share of links right at the threshold that the signature may lose
-BLOCK_WEIGHT = 100_000  # shingles in a block, where a document counts for 100 more than it has
+PAIRED = 16  # members up to which a key's pairs are listed
+BLOCK_WEIGHT = 300_000  # shingles in a block, where a document counts for 100 more than it has
 _ROW_WEIGHT = 100
 
 SIGNED = "doc_id long, text_key long, n_shingles long, set_id binary, signature array<int>"
@@ -155,29 +158,30 @@ def _compare_blocks(percent: int, limit: int):
     return run
 
 
-def _star_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Each node against the centre with which it shares most keys."""
-    best = (
+def _star_pairs(members: DataFrame) -> DataFrame:
+    """Each node and the centre with which it shares most keys, as (a, b)."""
+    return (
         members.where("node != centre")
         .groupBy("node", "centre")
         .agg(F.count("*").alias("shared"))
         .groupBy("node")
-        .agg(F.max_by("centre", "shared").alias("centre"))
-    )
-    pairs = best.join(sets, "node").join(
-        sets.select(F.col("node").alias("centre"), F.col("items").alias("others")), "centre"
-    )
-    a, b = F.size("items"), F.size("others")
-    both = F.size(F.array_intersect("items", "others"))
-    return (
-        pairs.where(100 * F.least(a, b) >= percent * F.greatest(a, b))
-        .where(100 * both >= percent * (a + b - both))
-        .select(F.col("node").alias("a"), F.col("centre").alias("b"))
+        .agg(F.max_by("centre", "shared").alias("b"))
+        .withColumnRenamed("node", "a")
     )
 
 
-def _block_links(members: DataFrame, nodes: DataFrame, sets: DataFrame, labels: DataFrame, percent: int, limit: int):
-    """Links between components that still share a key, from pairs of bounded blocks."""
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
+    for side in ("a", "b"):
+        own = sets.select(F.col("node").alias(side), F.col("items").alias(f"items_{side}"))
+        pairs = pairs.join(own, side)
+    a, b = F.size("items_a"), F.size("items_b")
+    both = F.size(F.array_intersect("items_a", "items_b"))
+    return pairs.where(100 * both >= percent * (a + b - both)).select("a", "b")
+
+
+def _open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members (key, node, component, rows) of the keys that still meet several components."""
     members = members.select("key", "node").join(labels, "node", "left")
     members = members.withColumn("component", F.coalesce("component", "node"))
     open_keys = (
@@ -185,13 +189,43 @@ def _block_links(members: DataFrame, nodes: DataFrame, sets: DataFrame, labels:
         .agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("rows"))
         .where("low != high")
     )
-    rest = stored(members.join(open_keys.select("key", "rows"), "key"))
+    return stored(members.join(open_keys.select("key", "rows"), "key"))
+
+
+def _listed_pairs(rest: DataFrame, nodes: DataFrame, percent: int, limit: int) -> DataFrame:
+    """Pairs across components of the small keys, within the distance and size limits."""
+    small = rest.where(F.col("rows") <= PAIRED).select("key", "node", "component")
+    other = small.select("key", F.col("node").alias("b"), F.col("component").alias("component_b"))
+    pairs = (
+        small.withColumnRenamed("node", "a")
+        .join(other, "key")
+        .where("a < b and component != component_b")
+        .select("a", "b")
+        .distinct()
+    )
+    for side in ("a", "b"):
+        pairs = pairs.join(
+            nodes.select(
+                F.col("node").alias(side),
+                F.col("signature").alias(f"signature_{side}"),
+                F.col("n_shingles").alias(f"size_{side}"),
+            ),
+            side,
+        )
+    sizes = ("size_a", "size_b")
+    differs = F.zip_with("signature_a", "signature_b", lambda x, y: (x != y).cast("int"))
+    distance = F.aggregate(differs, F.lit(0), lambda total, x: total + x)
+    return (
+        pairs.where(100 * F.least(*sizes) >= percent * F.greatest(*sizes)).where(distance <= limit).select("a", "b")
+    )
+
+
+def _block_links(rest: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, limit: int):
+    """Links across components of the large keys, from pairs of bounded blocks."""
+    rest = rest.where(F.col("rows") > PAIRED)
     placed = (
         rest.groupBy("node")
-        .agg(
-            F.max(F.struct("rows", "key")).alias("anchor"),
-            F.first("component").alias("component"),
-        )
+        .agg(F.max(F.struct("rows", "key")).alias("anchor"), F.first("component").alias("component"))
         .join(nodes.select("node", "n_shingles"), "node")
         .select("node", "component", (F.col("n_shingles") + _ROW_WEIGHT).alias("weight"), "anchor.rows", "anchor.key")
     )
@@ -261,10 +295,12 @@ def near_duplicates(docs: DataFrame, *, shingle_words: int = 5, percent: int = 8
     # Repeated rows give a node twice.
     sets = stored(found.mapInArrow(_sets(shingle_words), "node long, items array<long>").dropDuplicates(["node"]))
 
-    first = stored(_star_links(members, sets, percent))
-    labels = components(first)
-    second = _block_links(members, nodes, sets, labels, percent, 2 * chunks - 1)
-    labels = components(first.unionByName(second))
+    limit = 2 * chunks - 1
+    links = stored(_confirmed(_star_pairs(members), sets, percent))
+    rest = _open_members(members, components(links))
+    listed = _confirmed(_listed_pairs(rest, nodes, percent, limit), sets, percent)
+    blocks = _block_links(rest, nodes, sets, percent, limit)
+    labels = components(links.unionByName(listed).unionByName(blocks))
 
     joined = nodes.select("node", "set_id", "doc_id").join(labels, "node", "left")
     joined = joined.withColumn("component", F.coalesce("component", "node"))
