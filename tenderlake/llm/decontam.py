@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tenderlake.llm import words as W
 from tenderlake.llm.ordered import indexed
-from tenderlake.llm.storage import stored
+from tenderlake.llm.storage import packed, stored, unpacked
 
 BLOCK = 50_000  # windows in one broadcast block
 
@@ -220,7 +220,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 10) ->
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = 10) -> DataFrame:
     """The rows of ``docs`` in which no window of an item occurs."""
-    others = [c for c in docs.columns if c != "text"]
-    row = F.struct(F.lit(0).alias("_"), *others).alias("row")  # so that no name can clash
-    found = occurrences(docs.select(row, F.col("text").cast("string")), benchmark, window=window)
-    return found.where(F.size("spans") == 0).select("row.*", "text").select(docs.columns)
+    named = docs.select(packed(docs, leave_out="text"), F.col("text").cast("string"))
+    found = occurrences(named, benchmark, window=window)
+    return unpacked(found.where(F.size("spans") == 0), docs.columns, apart="text")

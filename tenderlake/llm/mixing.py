@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tenderlake.llm.ordered import indexed
-from tenderlake.llm.storage import stored
+from tenderlake.llm.storage import packed, stored, unpacked
 
 BLOCK_WORDS = 1024
 MOST = 3  # times its size that a source gives at most
@@ -204,12 +204,12 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
         .agg(F.coalesce(F.sum(copies), F.lit(0)).alias("_copies"), F.count("*").alias("_rows"))
         .where("_copies > 0")
     )
-    keyed = docs.withColumn("_text", F.xxhash64("text"))
-    found = keyed.join(decided, F.col("_id").eqNullSafe(keyed["doc_id"]) & (F.col("_key") == F.col("_text")))
+    keyed = docs.select(packed(docs), "doc_id", F.xxhash64("text").alias("text_key"))
+    found = keyed.join(decided, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_key") == F.col("text_key")))
     # Repeated rows share what their document got.
     rank = F.row_number().over(Window.partitionBy("_id", "_key").orderBy("_id")) - 1
     share = F.expr("_copies div _rows") + (F.col("_rank") < F.col("_copies") % F.col("_rows")).cast("int")
     single = found.where("_rows = 1")
     repeated = found.where("_rows > 1").withColumn("_rank", rank).withColumn("_copies", share).drop("_rank")
     every = single.unionByName(repeated).where("_copies > 0")
-    return every.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(docs.columns)
+    return unpacked(every.withColumn("_copy", F.explode(F.expr("sequence(1, int(_copies))"))), docs.columns)

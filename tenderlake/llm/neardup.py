@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from tenderlake.llm import words as W
 from tenderlake.llm.components import components
 from tenderlake.llm.ordered import indexed
-from tenderlake.llm.storage import stored
+from tenderlake.llm.storage import packed, stored, unpacked
 
 CHUNK = 4  # slots in a chunk, of which one may be wrong
 MISS = 1e-6  # share of links right at the threshold that the signature may lose
@@ -322,7 +322,8 @@ def without_near_duplicates(docs: DataFrame, *, shingle_words: int = 5, percent:
         .select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), (F.col("n_shingles") > 0).alias("_set"))
         .dropDuplicates(["_id", "_key"])
     )
-    keyed = docs.withColumn("_text", F.xxhash64("text"))
-    kept = keyed.join(decided, F.col("_id").eqNullSafe(keyed["doc_id"]) & (F.col("_key") == F.col("_text")))
+    keyed = docs.select(packed(docs), "doc_id", F.xxhash64("text").alias("text_key"))
+    same = F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_key") == F.col("text_key"))
+    kept = keyed.join(decided, same)
     with_set = kept.where("_set").dropDuplicates(["_id", "_key"])
-    return with_set.unionByName(kept.where("not _set")).select(docs.columns)
+    return unpacked(with_set.unionByName(kept.where("not _set")), docs.columns)

@@ -40,6 +40,7 @@ class Ends:
         self.total, self.largest = seen["total"] or 0, seen["largest"] or 0
         self.widths = [max(1, -(-self.total // BINS))]
         self.bins: dict[tuple[int, int], tuple[int, int]] = {}
+        self.lows, self.highs, self.keys = [], [], []
         if self.total:
             self._add(0, None)
         self.open: set[tuple[int, int]] = set()

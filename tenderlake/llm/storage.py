@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from tenderlake.session import shared_folder
 
@@ -21,3 +22,14 @@ def stored(df: DataFrame) -> DataFrame:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def packed(docs: DataFrame, leave_out: str | None = None) -> Column:
+    """All columns but one as a struct, so that no name can clash with an operator's own."""
+    fields = [F.col(f"`{c}`") for c in docs.columns if c != leave_out]
+    return F.struct(*fields or [F.lit(0).alias("none")]).alias("row")
+
+
+def unpacked(df: DataFrame, columns: list[str], apart: str | None = None) -> DataFrame:
+    """The packed columns again, in their order; ``apart`` was not packed."""
+    return df.select(*[F.col(c) if c == apart else F.col("row").getField(c).alias(c) for c in columns])

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tenderlake.llm import words as W
 from tenderlake.llm.labelled import held_out, training_sample
-from tenderlake.llm.storage import stored
+from tenderlake.llm.storage import packed, stored, unpacked
 
 SAMPLE_ROWS = 20_000  # labelled documents to learn from
 MODEL_TERMS = 50_000  # words and beginnings that keep a score of their own
@@ -287,6 +287,6 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose score is below the threshold, with its columns."""
-    others = F.struct(F.lit(0).alias("_"), *[c for c in docs.columns if c != "text"]).alias("row")
-    scored = with_scores(docs.select(others, F.col("text").cast("string")), fit(docs, labels))
-    return scored.where(F.col("score") < REJECT_AT).select("row.*", "text").select(docs.columns)
+    row = packed(docs, leave_out="text")
+    scored = with_scores(docs.select(row, F.col("text").cast("string")), fit(docs, labels))
+    return unpacked(scored.where(F.col("score") < REJECT_AT), docs.columns, apart="text")
