@@ -84,4 +84,97 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": pipeline,
 }
 
-SQL: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _license_sql() -> str:
+    names = ", ".join("({!r}, '{}')".format(n, t.replace("'", "''")) for n, t in licenses.TEMPLATES.items())
+    words = "list_filter(string_split_regex(lower({}), '[^a-z0-9]+'), lambda w: w <> '')"
+    grams = "list_distinct(list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1]))"
+    return rf"""
+WITH template AS (
+  SELECT name, {grams} AS g FROM (SELECT name, {words.format("t")} AS w FROM (VALUES {names}) AS x(name, t))
+), passage AS (
+  SELECT DISTINCT doc_id, p FROM documents, unnest(list_concat(
+    string_split(coalesce(text, ''), chr(10)), [coalesce(text, '')],
+    list_filter(string_split_regex(coalesce(text, ''), '\n[ \t\r]*\n'), lambda x: contains(trim(x), chr(10)))
+  )) AS t(p)
+), grams AS (
+  SELECT doc_id, p, {grams} AS g FROM (SELECT doc_id, p, {words.format("p")} AS w FROM passage)
+), near AS (
+  SELECT doc_id, p, name, 2.0 * len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g)) AS dice
+  FROM grams AS a JOIN template AS b
+    ON len(a.g) BETWEEN len(b.g) * {licenses.LEAST_DICE} / (2 - {licenses.LEAST_DICE})
+                    AND len(b.g) * (2 - {licenses.LEAST_DICE}) / {licenses.LEAST_DICE}
+), best AS (
+  SELECT doc_id, count(DISTINCT p) AS n, arg_min(name, (-dice, name)) AS license, max(dice) AS dice
+  FROM near WHERE dice >= {licenses.LEAST_DICE} GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS INTEGER) AS n_passages, license, CAST(dice AS DOUBLE) AS dice
+FROM documents AS d LEFT JOIN best USING (doc_id)
+"""
+
+
+SQL: dict[str, str] = {
+    "op2_license_scan": _license_sql(),
+    "op4_minhash_near_dedup": rf"""
+WITH RECURSIVE doc_words AS (
+  SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[k : k + 2], ' ') AS s
+  FROM doc_words, unnest(range(1, greatest(len(w) - 2, least(len(w), 1)) + 1)) AS t(k)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common
+  FROM shingles AS a JOIN shingles AS b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+  SELECT x, y FROM shared JOIN sizes AS p ON p.doc_id = x JOIN sizes AS q ON q.doc_id = y
+  WHERE 100 * common >= 85 * (p.n + q.n - common)
+), reach AS (
+  SELECT doc_id AS x, doc_id AS y FROM documents
+  UNION
+  SELECT r.x, l.y FROM reach AS r JOIN links AS l ON l.x = r.y
+)
+SELECT r.x AS doc_id, coalesce(max(n), 0) AS n_shingles, min(r.y) AS component_id, r.x = min(r.y) AS kept
+FROM reach AS r LEFT JOIN sizes AS s ON s.doc_id = r.x GROUP BY r.x
+""",
+    "op6_exact_dedup": r"""
+WITH plain AS (
+  SELECT doc_id, length(coalesce(text, '')) AS chars,
+         regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS rest
+  FROM documents
+), ranked AS (
+  SELECT *, first_value(doc_id) OVER (PARTITION BY rest ORDER BY chars DESC, doc_id) AS keep_id,
+         count(*) OVER (PARTITION BY rest) AS group_size
+  FROM plain
+)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(rest) AS text_sha256 FROM ranked
+""",
+    "op10_benchmark_decontamination": rf"""
+WITH item_words AS (
+  SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark
+), windows AS (
+  SELECT DISTINCT item_id, least(10, len(w)) AS n, w[k : k + least(10, len(w)) - 1] AS win
+  FROM item_words, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS t(k) WHERE len(w) > 0
+), doc_words AS (
+  SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), places AS (
+  SELECT doc_id, s.n, k, w[k : k + s.n - 1] AS win
+  FROM doc_words, (SELECT DISTINCT n FROM windows) AS s, unnest(range(1, len(w) - s.n + 2)) AS t(k)
+), found AS (
+  SELECT p.doc_id, p.k, p.n, v.item_id FROM places AS p JOIN windows AS v ON v.n = p.n AND v.win = p.win
+), hits AS (
+  SELECT doc_id, count(DISTINCT place) AS n_hit FROM found, unnest(range(k, k + n)) AS t(place) GROUP BY doc_id
+), items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(i.n_items, 0) AS n_items,
+       sha256(coalesce(i.ids, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
+FROM doc_words AS d LEFT JOIN hits AS h USING (doc_id) LEFT JOIN items AS i USING (doc_id)
+""",
+} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
