@@ -57,7 +57,6 @@ def canonical(
     base, order = with_match_keys(bronze), latest_first(tie_break)
     if not keep_null_keys:
         return latest_per_key(base, RECORD_KEY, order)
-    keyed = base.where(F.col("id_origen").isNotNull())
-    return latest_per_key(keyed, RECORD_KEY, order).unionByName(
-        base.where(F.col("id_origen").isNull())
-    )
+    # One pass: a row without an id is a key of its own.
+    alone = F.when(F.col("id_origen").isNull(), F.monotonically_increasing_id())
+    return latest_per_key(base.withColumn("_alone", alone), (*RECORD_KEY, "_alone"), order).drop("_alone")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tenderlake.functions.contract import peer_group
 from tenderlake.operators.quantiles import exact_median
-from tenderlake.session import broadcast_if_small, settle
+from tenderlake.session import settle
 
 # Fixed value: scales the median absolute deviation to a standard deviation.
 _MAD_SCALE = 1.4826
@@ -18,7 +18,6 @@ def peer_statistics(rows: DataFrame, min_peers: int = 30) -> DataFrame:
     medians = settle(
         exact_median(rows, ["peer"], "limp").where(F.col("n") >= min_peers)
     ).withColumnRenamed("median", "med")
-    medians = broadcast_if_small(medians)
     distances = rows.join(medians, "peer").select("peer", F.abs(F.col("limp") - F.col("med")).alias("dist"))
     spreads = exact_median(distances, ["peer"], "dist").select("peer", F.col("median").alias("madv"))
     return medians.join(spreads.where("madv > 0"), "peer")
@@ -36,12 +35,12 @@ def price_outliers(
         "peer": peer_group(F.col("cpv"), F.col("tipo_contrato")),
         "limp": F.ln("importe"),
     })
-    stats = broadcast_if_small(settle(peer_statistics(rows.select("peer", "limp"), min_peers)))
+    stats = settle(peer_statistics(rows.select("peer", "limp"), min_peers))
     z = (F.col("limp") - F.col("med")) / (_MAD_SCALE * F.col("madv"))
     scored = rows.join(stats, "peer").withColumn("z", z)
     first = F.col("z").asc_nulls_last() if cheapest else F.col("z").desc_nulls_last()
     return (
-        scored.orderBy(first, "id_origen", "source", "organo_nombre")
+        scored.orderBy(first, "id_origen", "source", "organo_nombre", "link_detalle", "source_file")
         .limit(limit)
         .select(
             "id_origen", "source", "source_file", "year", "ccaa",

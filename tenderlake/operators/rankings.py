@@ -51,7 +51,7 @@ def top_contracts(contracts: DataFrame, limit: int = 150) -> DataFrame:
     """The largest single contracts with their flags and provenance; nothing is hidden."""
     return (
         contracts.where(F.col("importe").isNotNull())
-        .orderBy(F.col("importe").desc_nulls_last(), "id_origen", "source", "organo_nombre")
+        .orderBy(F.col("importe").desc_nulls_last(), "id_origen", "source", "organo_nombre", "link_detalle", "source_file")
         .limit(limit)
         .select(
             "id_origen", "source", "source_file", "estado", "year", "ccaa",

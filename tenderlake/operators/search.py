@@ -12,7 +12,7 @@ from tenderlake.functions.contract import in_analysis_years
 from tenderlake.functions.money import exact_sum, money
 from tenderlake.operators.filters import contract_filter
 from tenderlake.operators.grouping import named_totals
-from tenderlake.session import BROADCAST_ROWS, settle
+from tenderlake.session import settle
 
 INDEX_COLUMNS = (
     "id_origen", "source", "source_file", "fichero", "estado", "year", "organo_nombre", "organo_nif",
@@ -79,25 +79,26 @@ def attach_files(found: DataFrame, manifest: DataFrame) -> DataFrame:
     )
 
 
-def _largest(rows: DataFrame, limit: int) -> DataFrame:
+def _largest(rows: DataFrame, limit: int | None) -> DataFrame:
     order = [c for c in ("id_origen", "source", "org_id", "entry_id") if c in rows.columns]
-    return rows.orderBy(F.col("importe").desc_nulls_last(), *order).limit(limit)
+    ordered = rows.orderBy(F.col("importe").desc_nulls_last(), *order)
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def find_contracts(
     silver: DataFrame,
     filters: Mapping[str, Any],
-    limit: int = 50,
+    limit: int | None = 50,
     manifest: DataFrame | None = None,
 ) -> DataFrame:
-    """Largest contracts that pass the filters, with their feed files when a manifest is given."""
+    """Largest contracts that pass the filters, with their feed files when a manifest is given.
+
+    Without a limit all of them are returned, in the same order.
+    """
     found = _largest(silver.where(contract_filter(filters)), limit)
     if manifest is None:
         return found
-    found = settle(found)
-    if limit <= BROADCAST_ROWS:
-        found = F.broadcast(found)
-    return _largest(attach_files(found, manifest), limit)
+    return _largest(attach_files(settle(found), manifest), limit)
 
 
 def inspect_contract(
@@ -107,7 +108,7 @@ def inspect_contract(
     manifest: DataFrame | None = None,
 ) -> DataFrame:
     """All records of one procurement file."""
-    return find_contracts(silver, {"id": id_origen, "source": source}, 20, manifest)
+    return find_contracts(silver, {"id": id_origen, "source": source}, None, manifest)
 
 
 def total_block(found: DataFrame) -> DataFrame:

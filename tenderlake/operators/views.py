@@ -21,11 +21,6 @@ def since(mart: DataFrame, year: int) -> DataFrame:
     return mart.where(F.col("year") >= year)
 
 
-def first_rows(mart: DataFrame, source: str | None = None, n: int = 12) -> DataFrame:
-    """Head of an ordered mart, optionally of one source."""
-    return of_source(mart, source).limit(n)
-
-
 def _sum(name: str) -> Column:
     return F.coalesce(F.sum(F.coalesce(F.col(name), F.lit(0))), F.lit(0))
 

@@ -15,7 +15,7 @@ from tenderlake.operators.canonical import latest_per_key
 from tenderlake.operators.outliers import price_outliers
 from tenderlake.operators.quantiles import exact_median
 from tenderlake.plans import ledger as L
-from tenderlake.session import shared_folder, tune
+from tenderlake.session import run_folder
 from tenderlake.sources import dims
 from tenderlake.sources.bronze import ingest_folder, read_bronze
 from tenderlake.sources.feed import parse_fragments
@@ -57,7 +57,7 @@ def canonical_contracts_keeping_unkeyed(spark: SparkSession, sf: str) -> DataFra
 
 
 def _events(df: DataFrame) -> DataFrame:
-    return df.select("event_id", "ts", "user_id", "event_type", "value")
+    return df.select("event_id", "ts", "user_id", "event_type", "value", "props")
 
 
 def latest_events(spark: SparkSession, sf: str) -> DataFrame:
@@ -65,10 +65,7 @@ def latest_events(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _run_folder(spark: SparkSession, name: str) -> str:
-    folder = shared_folder(spark)
-    if folder is None:
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    return f"{folder}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    return run_folder(spark, f"{name}-{uuid.uuid4().hex}")
 
 
 def streamed_latest_events(spark: SparkSession, sf: str) -> DataFrame:
@@ -205,18 +202,6 @@ def _per_capita(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """Name -> query; each takes a session and the folder of the tables."""
-    return {name: _tuned(query) for name, query in _registered().items()}
-
-
-def _tuned(query: Query) -> Query:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        tune(spark)
-        return query(spark, sf_dir)
-
-    return run
-
-
-def _registered() -> dict[str, Query]:
     return {
         # Derived columns and deduplication
         "base_columns": base_columns,
@@ -290,7 +275,7 @@ def _registered() -> dict[str, Query]:
         "year_totals": _on_contracts(lambda c: views.year_totals(overview.yearly_series(c), 2018)),
         "supplier_ranking": _on_contracts(views.supplier_ranking),
         "largest_of_one_source": _on_contracts(
-            lambda c: views.first_rows(rankings.top_contracts(c), "agregaciones").select(
+            lambda c: rankings.top_contracts(views.of_source(c, "agregaciones"), limit=12).select(
                 "id_origen", "source", "importe"
             )
         ),
@@ -299,7 +284,7 @@ def _registered() -> dict[str, Query]:
         "government_timeline": lambda s, sf: views.government_timeline(_shares(s, sf)),
         "exact_median_of_events": exact_median_of_events,
         # Feeds
-        "file_manifest_rows": lambda s, sf: L.manifest(s, sf).drop("size_mb"),
+        "file_manifest_rows": L.manifest,
         "feed_records": feed_records,
         "ingested_feed": ingested_feed,
     }

@@ -17,8 +17,8 @@ from tenderlake import schema as S
 from tenderlake.functions.contract import lookup, with_derived
 from tenderlake.functions.text import record_year
 from tenderlake.operators.canonical import canonical
-from tenderlake.session import shared_folder, use_all_cores
-from tenderlake.sources.tables import contracts_of, read_silver, silver_columns, write_silver
+from tenderlake.session import run_folder
+from tenderlake.sources.tables import contracts_of, read_silver, write_silver
 
 YEAR_SHIFT = 21
 REVIEW_ABOVE = 100_000.0
@@ -49,6 +49,20 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan of one split as a partition for each core; larger tables stay as their files are read.
+
+    Tables that fit into one split would otherwise be worked on by one core. The shuffle that this
+    costs is bounded by ``spark.sql.files.maxPartitionBytes``.
+    """
+    spark = scan.sparkSession
+    split = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
+        spark.conf.get("spark.sql.files.maxPartitionBytes")
+    )
+    size = int(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return scan.repartition(spark.sparkContext.defaultParallelism) if size <= split else scan
+
+
 def shifted_date(ts: Column) -> Column:
     """ISO date text moved into the analysis years."""
     return F.concat((F.year(ts) + YEAR_SHIFT).cast("string"), F.date_format(ts, "-MM-dd"))
@@ -61,7 +75,7 @@ def _cents(c: Column) -> Column:
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All order lines as Bronze rows. Dimensions are broadcast by Catalyst where their size allows."""
     lines = (
-        use_all_cores(read_table(spark, sf_dir, "lineitem"))
+        spread(read_table(spark, sf_dir, "lineitem"))
         .join(read_table(spark, sf_dir, "orders"), F.expr("l_orderkey = o_orderkey"))
         .join(read_table(spark, sf_dir, "customer"), F.expr("o_custkey = c_custkey"))
         .join(read_table(spark, sf_dir, "nation"), F.expr("c_nationkey = n_nationkey"))
@@ -147,14 +161,11 @@ def silver(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical contracts of the ledger, written once per session to shared storage.
 
     Deduplication is the one heavy shuffle; the analyses then scan only the Parquet columns and
-    row groups they need. Without shared storage the plan stays lazy.
+    row groups they need.
     """
-    folder = shared_folder(spark)
-    if folder is None:
-        return silver_columns(canonical_base(spark, sf_dir))
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _SILVER:
-        path = f"{folder}/{key[0]}/silver-{uuid.uuid4().hex}"
+        path = run_folder(spark, f"silver-{uuid.uuid4().hex}")
         write_silver(canonical_base(spark, sf_dir), path)
         _SILVER[key] = path
     return read_silver(spark, _SILVER[key])
@@ -165,10 +176,9 @@ def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Feed files the ledger rows name, one copy per year folder; the 2019 folders are missing."""
+    """Feed files the ledger rows name, one copy per year folder."""
     return (
         ledger(spark, sf_dir)
-        .where("year <> 2019")
         .groupBy("source", F.col("source_file").alias("basename"), F.col("year").alias("year_folder"))
         .agg(F.round(F.count("*") / 1000, 2).alias("size_mb"))
         .select(
@@ -209,10 +219,10 @@ def named_population(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def central_government(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One party per order year; 2020 is left out to have a year without a central party."""
+    """One party per order year."""
     year = (F.year("o_orderdate") + YEAR_SHIFT).cast("bigint")
     years = read_table(spark, sf_dir, "orders").groupBy(year.alias("year")).agg(F.count("*").alias("n"))
-    return years.where("year <> 2020").select(
+    return years.select(
         "year", F.when(F.col("year") <= 2018, "PP").otherwise("PSOE").alias("partido_central")
     )
 

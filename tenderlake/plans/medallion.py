@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tenderlake.functions.contract import with_derived
 from tenderlake.operators import search
@@ -12,7 +13,7 @@ from tenderlake.operators.canonical import canonical
 from tenderlake.plans.marts import MART_NAMES, all_marts
 from tenderlake.schema import IMPLAUSIBLE_AMOUNT, MANIFEST_SCHEMA, feed_source
 from tenderlake.session import settle
-from tenderlake.sources import bronze, dims, files, tables
+from tenderlake.sources import bronze, dims, files, tables, versions
 
 
 @dataclass(frozen=True)
@@ -54,7 +55,7 @@ class Lake:
         return f"{self.data_root.rstrip('/')}/{feed_source(source).subpath}"
 
 
-def ingest(spark: SparkSession, lake: Lake, source: str, *, overwrite: bool = False) -> bronze.IngestStats:
+def ingest(spark: SparkSession, lake: Lake, source: str, *, overwrite: bool = False) -> bronze.IngestReport:
     return bronze.ingest_folder(
         spark, lake.feed_folder(source), source, lake.bronze, lake.ingest_log, lake.quarantine,
         overwrite=overwrite,
@@ -80,7 +81,7 @@ def index_files(spark: SparkSession, lake: Lake) -> int:
 
 
 def read_manifest(spark: SparkSession, lake: Lake) -> DataFrame:
-    return bronze.read_or_empty(spark, lake.manifest, MANIFEST_SCHEMA)
+    return versions.read_or_empty(spark, lake.manifest, MANIFEST_SCHEMA)
 
 
 def export_index(spark: SparkSession, lake: Lake) -> int:
@@ -100,12 +101,28 @@ def read_dimensions(spark: SparkSession, lake: Lake) -> tuple[DataFrame, DataFra
     return alignment, dims.population(people)
 
 
+def unmapped_regions(spark: SparkSession, lake: Lake) -> DataFrame:
+    """(dimension, nombre) of the region names in both dimension files that no known region matches."""
+    named = {
+        "alignment": dims.read_regional_governments(spark, f"{lake.data_root}/partidos_politicos/partidos_ccaa.json"),
+        "population": dims.read_population(spark, f"{lake.data_root}/poblacion_ccaa/poblacion_total.json"),
+    }
+    alignment, population = (
+        dims.unmapped_regions(rows).select(F.lit(name).alias("dimension"), "nombre") for name, rows in named.items()
+    )
+    return alignment.unionByName(population)
+
+
 def build_marts(spark: SparkSession, lake: Lake, *, refresh_silver: bool = True) -> dict[str, int]:
-    """Deduplicate Bronze once into Silver and write all marts from it; returns rows per mart."""
+    """Deduplicate Bronze once into Silver and write all marts from it; returns rows per mart.
+
+    Region names that the dimensions could not place are written beside the marts, as ``unmapped_regions``.
+    """
     if refresh_silver:
         build_silver(spark, lake)
     contracts = tables.contracts_of(tables.read_silver(spark, lake.silver))
     alignment, population = (settle(d) for d in read_dimensions(spark, lake))
+    unmapped_regions(spark, lake).write.mode("overwrite").parquet(f"{lake.gold}/unmapped_regions.parquet")
     marts = all_marts(contracts, alignment, population)
     return {name: tables.write_gold(build(), lake.gold, name) for name, build in marts.items()}
 

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# Rows a side may have to be broadcast once its size has been counted.
-BROADCAST_ROWS = 200_000
 
 # HotSpot leaves methods above this size interpreted; Spark then uses smaller generated methods.
 _METHOD_LIMIT = ("spark.sql.codegen.hugeMethodLimit", "8000")
@@ -42,45 +41,35 @@ def local_session(app: str = "tenderlake", cpus: int | str = "*", **conf: Any) -
     return spark
 
 
-def tune(spark: SparkSession) -> None:
-    """Run-time settings for a session made elsewhere."""
-    spark.conf.set(*_METHOD_LIMIT)
+_LOCAL_FOLDERS: dict[str, str] = {}
 
 
-def shared_folder(spark: SparkSession) -> str | None:
+def shared_folder(spark: SparkSession) -> str:
     """Folder all executors can reach, as named by ``spark.checkpoint.dir``.
 
-    A local session without the setting gets a fresh temporary folder. On a cluster nothing is
-    made up: the result is None and callers keep their lineage.
+    A local session without the setting gets a temporary folder, removed when the program ends. On a
+    cluster nothing is made up: the setting is required.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and spark.sparkContext.master.startswith("local"):
-        named = tempfile.mkdtemp(prefix="tenderlake-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    if named:
+        return named
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="tenderlake-")
+        atexit.register(shutil.rmtree, _LOCAL_FOLDERS[app], ignore_errors=True)
+    return _LOCAL_FOLDERS[app]
+
+
+def run_folder(spark: SparkSession, name: str) -> str:
+    """A folder of this application below the shared one."""
+    return f"{shared_folder(spark).rstrip('/')}/{spark.sparkContext.applicationId}/{name}"
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and cut its lineage on shared storage, where there is such storage."""
+    """Compute ``df`` once and cut its lineage on shared storage."""
     spark = df.sparkSession
-    folder = shared_folder(spark)
-    if folder is None:
-        return df
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast a settled side when its counted size is below the bound; else leave it to AQE.
-
-    ``limit`` stops the count early, so a large side costs no full pass.
-    """
-    fits = df.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if fits else df
-
-
-def use_all_cores(scan: DataFrame) -> DataFrame:
-    """Spread a scan over the cores when its files give fewer tasks; large tables stay as read."""
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

@@ -2,78 +2,96 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+import uuid
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 from itertools import batched
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tenderlake.functions.text import base_name
 from tenderlake.schema import BRONZE_SCHEMA
+from tenderlake.session import run_folder
+from tenderlake.sources import versions
 from tenderlake.sources.feed import CORRUPT, parse_fragments, read_fragments
-from tenderlake.sources.files import hash_files, list_files, literal_paths
+from tenderlake.sources.files import describe_files, list_files, literal_paths
+from tenderlake.sources.versions import read_or_empty
 
 PARTITIONS = ("source", "year")
-# Files handled per Spark job round; bounds every path list the driver holds.
+# Files of one round unless stated; bounds every path list the driver holds.
 FILES_PER_ROUND = 20_000
 
-_LOG_SCHEMA = (
+_LOG_COLUMNS = (
     "source string, file_path string, length bigint, modified timestamp, "
-    "source_file_hash string, outcome string, logged_at timestamp"
+    "source_file_hash string, outcome string, entries bigint, malformed bigint"
 )
+_LOG_SCHEMA = f"{_LOG_COLUMNS}, logged_at timestamp"
 QUARANTINE_SCHEMA = "source string, source_file string, source_file_hash string, entry string"
+_STAGED = StructType([*BRONZE_SCHEMA.fields, StructField(CORRUPT, StringType())])
 
 
 @dataclass
-class IngestStats:
-    source: str
-    files_total: int = 0
-    files_processed: int = 0
-    files_skipped: int = 0
-    records: int = 0
-    malformed_entries: int = 0
-    errors: list[str] = field(default_factory=list)
-
-
-def read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
-    """Parquet table with a fixed schema; absent columns are NULL, an absent table is empty."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as problem:
-        if problem.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
+class IngestReport:
+    """What a run did. ``files`` counts by outcome: written, known (content seen before), empty
+    (no entry in it), unreadable, passed over (same path, size and time as in the log)."""
+
+    feed: str
+    files: dict[str, int] = field(default_factory=dict)
+    entries_written: int = 0
+    entries_quarantined: int = 0
+
+    def add(self, outcomes: dict[str, int], written: int, quarantined: int) -> None:
+        for outcome, n in outcomes.items():
+            self.files[outcome] = self.files.get(outcome, 0) + n
+        self.entries_written += written
+        self.entries_quarantined += quarantined
 
 
 def read_bronze(spark: SparkSession, path: str) -> DataFrame:
-    return read_or_empty(spark, path, BRONZE_SCHEMA).select(BRONZE_SCHEMA.names)
+    return read_or_empty(spark, versions.current(spark, path), BRONZE_SCHEMA).select(BRONZE_SCHEMA.names)
 
 
 def write_partitioned(df: DataFrame, path: str, partitions: Sequence[str], mode: str) -> None:
     """Write with evenly sized files.
 
     ``rebalance`` lets AQE merge small partitions and split a hot one, so one dominant source or
-    year neither yields one huge file nor thousands of tiny ones. Overwriting replaces only the
-    partitions that receive rows, which also permits reading from the same table.
+    year neither yields one huge file nor thousands of tiny ones.
     """
     (
         df.hint("rebalance", *partitions)
         .write.mode(mode)
-        .option("partitionOverwriteMode", "dynamic")
         .option("compression", "zstd")
         .partitionBy(*partitions)
         .parquet(path)
     )
 
 
+def replace_table(df: DataFrame, table: str, partitions: Sequence[str]) -> None:
+    """Write a new version of a table and make it current; ``df`` may read the version before."""
+    version = versions.new_version(table)
+    write_partitioned(df, version, partitions, "errorifexists")
+    versions.publish(df.sparkSession, table, version)
+
+
+def append_bronze(df: DataFrame, table: str) -> None:
+    """Add rows to the current version; the first rows make the first version."""
+    spark = df.sparkSession
+    version = versions.current(spark, table)
+    if version is None:
+        replace_table(df, table, PARTITIONS)
+    else:
+        write_partitioned(df, version, PARTITIONS, "append")
+
+
 def utc_stamp() -> Column:
     return F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx")
 
 
 def with_trace(parsed: DataFrame, source: str, hashes: DataFrame) -> DataFrame:
-    """Add provenance; ``hashes`` is one round's file list, bounded by FILES_PER_ROUND."""
+    """Add provenance; ``hashes`` is one round's file list, bounded by the round's size."""
     return parsed.join(F.broadcast(hashes), "file_path").withColumns({
         "source": F.lit(source),
         "source_file": base_name(F.col("file_path")),
@@ -81,79 +99,112 @@ def with_trace(parsed: DataFrame, source: str, hashes: DataFrame) -> DataFrame:
     })
 
 
-def _rows_by_hash(spark: SparkSession, bronze: str, source: str, hashes: DataFrame) -> dict[str, int]:
-    """Bronze rows of each listed file content; one row per file of the round at most."""
-    stored = read_bronze(spark, bronze).where(F.col("source") == source).select("source_file_hash")
-    listed = stored.join(F.broadcast(hashes.select("source_file_hash")), "source_file_hash", "left_semi")
-    counts = listed.groupBy("source_file_hash").agg(F.count("*").alias("n"))
-    return {r.source_file_hash: r.n for r in counts.collect()}
+def _parsed_round(spark: SparkSession, files: DataFrame, source: str, pattern: str) -> DataFrame:
+    """Entries of the files, read once for each entry tag and encoding that occurs among them."""
+    kinds = [(r.entry_tag, r.encoding) for r in files.select("entry_tag", "encoding").distinct().collect()]
+    parts = []
+    for tag, encoding in sorted(kinds):
+        own = files.where((F.col("entry_tag") == tag) & (F.col("encoding") == encoding))
+        paths = literal_paths(r.file_path for r in own.select("file_path").collect())
+        parts.append(read_fragments(spark, paths, entry_tag=tag, encoding=encoding, pattern=pattern))
+    parsed = parse_fragments(reduce(DataFrame.unionByName, parts))
+    return with_trace(parsed, source, files.select("file_path", "source_file_hash"))
 
 
 def ingest_files(
     spark: SparkSession,
-    sizes: Mapping[str, int],
+    listed: DataFrame,
     source: str,
     bronze: str,
+    log: str,
     quarantine: str,
     *,
     overwrite: bool = False,
-    entry_tag: str = "entry",
     pattern: str = "*.atom",
-) -> tuple[dict[str, str], dict[str, str], int, int]:
-    """Parse one round of files (path -> size) into Bronze.
+) -> tuple[dict[str, int], int, int]:
+    """Parse one round of files (LISTING columns, a bounded number of rows) into Bronze.
 
-    Returns (hash by path, outcome by path, records written, malformed entries). A file whose
-    content is already in Bronze, or appears twice in the round, is skipped.
+    Returns files by outcome, entries written and entries quarantined. A file whose content the log
+    or this round has already is known. Everything is parsed once into a staging table, from
+    which Bronze, quarantine and log are filled.
     """
-    hash_of = hash_files(spark, sizes)
-    outcome = {p: "error" for p in sizes if p not in hash_of}
-    first_path: dict[str, str] = {}
-    for path in sorted(hash_of):
-        first_path.setdefault(hash_of[path], path)
-    hash_schema = "source_file_hash string, file_path string"
-    candidates = spark.createDataFrame(list(first_path.items()) or [], hash_schema)
-    known = _rows_by_hash(spark, bronze, source, candidates) if first_path else {}
-    fresh = {h: p for h, p in first_path.items() if overwrite or h not in known}
-    malformed = 0
-    written: dict[str, int] = {}
-    if fresh:
-        hashes = spark.createDataFrame(list(fresh.items()), hash_schema)
-        parsed = parse_fragments(
-            read_fragments(spark, literal_paths(fresh.values()), entry_tag=entry_tag, pattern=pattern)
-        )
-        seen = Observation()
-        traced = with_trace(parsed, source, hashes).observe(
-            seen, F.count_if(F.col(CORRUPT).isNotNull()).alias("malformed")
-        )
-        rows = traced.where(F.col(CORRUPT).isNull()).select(BRONZE_SCHEMA.names)
-        write_partitioned(rows, bronze, PARTITIONS, "append")
-        stored = _rows_by_hash(spark, bronze, source, hashes)
-        written = {h: n - known.get(h, 0) for h, n in stored.items()}
-        malformed = seen.get["malformed"]
-        if malformed:
-            bad = with_trace(parsed.where(F.col(CORRUPT).isNotNull()), source, hashes)
-            bad = bad.select("source", "source_file", "source_file_hash", F.col(CORRUPT).alias("entry"))
-            write_partitioned(bad, quarantine, ("source", "source_file_hash"), "overwrite")
-    for path, digest in hash_of.items():
-        new = first_path[digest] == path and digest in written
-        outcome[path] = "processed" if new else "skipped"
-    return hash_of, outcome, sum(written.values()), malformed
+    stage = run_folder(spark, f"ingest-{uuid.uuid4().hex}")
+    described = f"{stage}/files"
+    listed.join(F.broadcast(describe_files(spark, listed)), "file_path", "left").write.parquet(described)
+    files = spark.read.parquet(described)
+    fresh = files.where("source_file_hash is not null and entry_tag is not null")
+    fresh = fresh.groupBy("source_file_hash").agg(F.min_by(F.struct("file_path", "entry_tag", "encoding"), "file_path").alias("f"))
+    fresh = fresh.select("source_file_hash", "f.*")
+    if not overwrite:
+        known = _logged(spark, log, source).where("source_file_hash is not null and outcome in ('written', 'known')")
+        fresh = fresh.join(known, "source_file_hash", "left_anti")
+    fresh.write.parquet(f"{stage}/fresh")
+    fresh = spark.read.parquet(f"{stage}/fresh")
+
+    staged = spark.createDataFrame([], _STAGED)
+    if fresh.limit(1).count():
+        _parsed_round(spark, fresh, source, pattern).select(_STAGED.names).write.parquet(f"{stage}/entries")
+        staged = spark.read.schema(_STAGED).parquet(f"{stage}/entries")
+        good = staged.where(F.col(CORRUPT).isNull())
+        if good.limit(1).count():
+            append_bronze(good.select(BRONZE_SCHEMA.names), bronze)
+        bad = staged.where(F.col(CORRUPT).isNotNull())
+        bad = bad.select("source", "source_file", "source_file_hash", F.col(CORRUPT).alias("entry"))
+        if bad.limit(1).count():
+            write_partitioned(bad, quarantine, ("source",), "append")
+    counts = staged.groupBy("source_file_hash").agg(
+        F.count_if(F.col(CORRUPT).isNull()).alias("entries"), F.count_if(F.col(CORRUPT).isNotNull()).alias("malformed")
+    )
+    first = fresh.select("file_path", F.lit(True).alias("first"))
+    done = files.join(first, "file_path", "left").join(counts, "source_file_hash", "left")
+    own = F.col("first")
+    outcome = (
+        F.when(F.col("source_file_hash").isNull(), "unreadable")
+        .when(F.col("entry_tag").isNull() | (own & F.col("entries").isNull()), "empty")
+        .when(own, "written")
+        .otherwise("known")
+    )
+    n = lambda c: F.when(own, F.coalesce(c, F.lit(0))).otherwise(0).cast("bigint")
+    logged = done.select(
+        F.lit(source).alias("source"), "file_path", "length", "modified", "source_file_hash",
+        outcome.alias("outcome"), n("entries").alias("entries"), n("malformed").alias("malformed"),
+        F.current_timestamp().alias("logged_at"),
+    )
+    logged.coalesce(1).write.mode("append").partitionBy("source").parquet(log)
+    summary = logged.groupBy("outcome").agg(F.count("*"), F.sum("entries"), F.sum("malformed")).collect()
+    return {r[0]: r[1] for r in summary}, sum(r[2] for r in summary), sum(r[3] for r in summary)
 
 
-def keep_last_ingest(spark: SparkSession, bronze: str, source: str) -> None:
-    """Drop the rows of earlier ingests of the same file content (one rewrite of the source).
+def _logged(spark: SparkSession, log: str, source: str) -> DataFrame:
+    return read_or_empty(spark, log, _LOG_SCHEMA).where(F.col("source") == source)
 
-    The same content has rows in the same years, so every partition read is written again.
-    """
-    rows = read_bronze(spark, bronze).where(F.col("source") == source)
-    newest = rows.groupBy("source_file_hash").agg(F.max("ingested_at").alias("ingested_at"))
-    kept = rows.join(newest, ["source_file_hash", "ingested_at"], "left_semi")
-    write_partitioned(kept.select(BRONZE_SCHEMA.names), bronze, PARTITIONS, "overwrite")
+
+def _restore_log(spark: SparkSession, source: str, bronze: str, log: str) -> None:
+    """Fill a lost log with the contents that Bronze holds, so that none is added twice."""
+    if _logged(spark, log, source).limit(1).count():
+        return
+    held = read_bronze(spark, bronze).where(F.col("source") == source).groupBy("source_file_hash").agg(F.count("*").alias("n"))
+    if held.limit(1).count():
+        none = F.lit(None)
+        held.select(
+            F.lit(source).alias("source"), none.cast("string").alias("file_path"), none.cast("bigint").alias("length"),
+            none.cast("timestamp").alias("modified"), "source_file_hash", F.lit("known").alias("outcome"),
+            F.col("n").alias("entries"), F.lit(0).cast("bigint").alias("malformed"), F.current_timestamp().alias("logged_at"),
+        ).write.mode("append").partitionBy("source").parquet(log)
+
+
+def keep_last_ingest(spark: SparkSession, bronze: str, source: str) -> None:
+    """Drop the rows of earlier ingests of the same file content: a new version of the table."""
+    rows = read_bronze(spark, bronze)
+    own = rows.where(F.col("source") == source)
+    newest = own.groupBy("source_file_hash").agg(F.max("ingested_at").alias("ingested_at"))
+    kept = own.join(newest, ["source_file_hash", "ingested_at"], "left_semi").select(BRONZE_SCHEMA.names)
+    replace_table(rows.where(F.col("source") != source).unionByName(kept), bronze, PARTITIONS)
 
 
-def _rounds(unseen: DataFrame) -> Iterator[list]:
+def _rounds(unseen: DataFrame, files_per_round: int) -> Iterator[list]:
     """Listing rows in path order, streamed to the driver in bounded pieces."""
-    for rows in batched(unseen.orderBy("file_path").toLocalIterator(), FILES_PER_ROUND):
+    for rows in batched(unseen.orderBy("file_path").toLocalIterator(), files_per_round):
         yield list(rows)
 
 
@@ -166,56 +217,42 @@ def ingest_folder(
     quarantine: str,
     *,
     overwrite: bool = False,
-    entry_tag: str = "entry",
     pattern: str = "*.atom",
-) -> IngestStats:
+    files_per_round: int = FILES_PER_ROUND,
+) -> IngestReport:
     """Ingest every feed file below ``folder`` that Bronze does not hold yet.
 
     Files whose path, size and time stamp are in the ingest log are passed over without being
-    read; for the others the content hash decides. Rounds are committed one after the other, so a
-    broken run resumes where it stopped. With ``overwrite`` everything is parsed again and replaces
-    the earlier rows of the same content at the end. Files of zero length are not listed.
+    read; for the others the content hash decides. Unreadable files stay out of that and are tried
+    again by the next run. Rounds are committed one after the other, so a broken run resumes where
+    it stopped. With ``overwrite`` everything is parsed again and replaces the earlier rows of the
+    same content at the end. Files of zero length are not listed. How each file ended is in the log.
     """
-    stats = IngestStats(source)
+    report = IngestReport(source)
     listing = list_files(spark, folder, pattern)
-    stats.files_total = listing.count()
+    _restore_log(spark, source, bronze, log)
     unseen = listing
     if not overwrite:
-        logged = read_or_empty(spark, log, _LOG_SCHEMA).where(
-            (F.col("source") == source) & (F.col("outcome") != "error")
-        )
+        logged = _logged(spark, log, source).where(F.col("outcome") != "unreadable")
         unseen = listing.join(logged, ["file_path", "length", "modified"], "left_anti")
-    for rows in _rounds(unseen):
-        sizes = {r.file_path: r.length for r in rows}
-        hash_of, outcome, records, malformed = ingest_files(
-            spark, sizes, source, bronze, quarantine,
-            overwrite=overwrite, entry_tag=entry_tag, pattern=pattern,
-        )
-        stats.records += records
-        stats.malformed_entries += malformed
-        stats.files_processed += sum(v == "processed" for v in outcome.values())
-        stats.errors += [f"{p}: unreadable" for p, v in outcome.items() if v == "error"]
-        entries = [
-            (source, r.file_path, r.length, r.modified, hash_of.get(r.file_path), outcome[r.file_path])
-            for r in rows
-        ]
-        (
-            spark.createDataFrame(entries, _LOG_SCHEMA.rsplit(",", 1)[0])
-            .withColumn("logged_at", F.current_timestamp())
-            .coalesce(1)
-            .write.mode("append")
-            .parquet(log)
-        )
-    if overwrite and stats.records:
+    seen = 0
+    for rows in _rounds(unseen, files_per_round):
+        listed = spark.createDataFrame(rows, listing.schema)
+        seen += len(rows)
+        report.add(*ingest_files(spark, listed, source, bronze, log, quarantine, overwrite=overwrite, pattern=pattern))
+    if overwrite and report.entries_written:
         keep_last_ingest(spark, bronze, source)
-    stats.files_skipped = stats.files_total - stats.files_processed - len(stats.errors)
-    return stats
+    passed = listing.count() - seen
+    if passed:
+        report.add({"passed over": passed}, 0, 0)
+    return report
 
 
 def compact_bronze(spark: SparkSession, bronze: str) -> DataFrame:
-    """Rewrite Bronze in place with few, evenly sized files; returns row counts per source.
+    """A new version of Bronze with few, evenly sized files; returns row counts per source.
 
-    Partitions are swapped when the job commits, so no ingest may run meanwhile.
+    No ingest may run meanwhile, as its rows would go to the version before.
     """
-    write_partitioned(read_bronze(spark, bronze), bronze, PARTITIONS, "overwrite")
+    if versions.current(spark, bronze) is not None:
+        replace_table(read_bronze(spark, bronze), bronze, PARTITIONS)
     return read_bronze(spark, bronze).groupBy("source").agg(F.count("*").alias("filas"))

@@ -2,24 +2,16 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
-from collections.abc import Callable, Iterable, Mapping
-from urllib.parse import quote
+from collections.abc import Iterable
 
-import pandas as pd
-from pyarrow import fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from tenderlake.functions.text import base_name, folder_year, plain_path
 from tenderlake.schema import MANIFEST_SCHEMA, SOURCES
 
-# Largest file read into one row for hashing.
-HASH_IN_MEMORY = 16 << 20
-
 LISTING = "file_path string, length bigint, modified timestamp"
 
 
@@ -49,60 +41,47 @@ def literal_paths(paths: Iterable[str]) -> list[str]:
     return [re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p in paths]
 
 
-def _streamed_sha256(piece: int = 1 << 20) -> Callable[[Column], Column]:
-    """SHA-256 of a path's content, read in pieces; NULL when the file cannot be read.
-
-    The function is made here so that it travels to the executors by value.
-    """
+# What a feed declares is looked for in so many of its first bytes.
+_HEAD_BYTES = 1 << 16
+# Encodings that Spark decodes, by the names that XML declarations use.
+_ENCODINGS = {
+    "utf-8": "UTF-8", "us-ascii": "US-ASCII", "iso-8859-1": "ISO-8859-1", "latin1": "ISO-8859-1",
+    "windows-1252": "ISO-8859-1", "iso-8859-15": "ISO-8859-1",
+}
 
-    def digest(path: str) -> str | None:
-        total = hashlib.sha256()
-        try:
-            system, name = fs.FileSystem.from_uri(quote(re.sub("^file:/+", "file:///", path), safe=":/"))
-            with system.open_input_stream(name) as stream:
-                while part := stream.read(piece):
-                    total.update(part)
-        except (OSError, ValueError):
-            return None
-        return total.hexdigest()
 
-    def digests(paths: pd.Series) -> pd.Series:
-        return paths.map(digest)
+def _encoding(head: Column) -> Column:
+    """Encoding by the byte-order mark, else as the XML declaration names it; UTF-8 without either, and
+    for unknown names."""
+    mark = F.hex(F.substring(head, 1, 2))
+    ascii_head = F.decode(head, "ISO-8859-1")
+    declared = F.lower(F.regexp_extract(ascii_head, r"^[^<]{0,4}<\?xml[^>]*?encoding\s*=\s*[\"']([\w.-]+)", 1))
+    known = F.create_map(*[F.lit(x) for pair in _ENCODINGS.items() for x in pair])
+    marked = F.when(mark == "FFFE", "UTF-16LE").when(mark == "FEFF", "UTF-16BE")
+    return F.coalesce(marked, F.try_element_at(known, declared), F.lit("UTF-8"))
 
-    return F.pandas_udf(digests, StringType())
 
+def describe_files(spark: SparkSession, listed: DataFrame) -> DataFrame:
+    """(file_path, source_file_hash, entry_tag, encoding) of the files of one round.
 
-def _hashed_in_memory(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
+    Each file is read as one row (up to 2 GB); those that cannot be read are left out. The entry tag
+    has the prefix of the file's first entry, in whatever namespace; it is NULL in a file without entries.
+    """
+    paths = [r.file_path for r in listed.select("file_path").collect()]  # at most a round's files
     files = (
         spark.read.format("binaryFile")
         .options(ignoreCorruptFiles="true", ignoreMissingFiles="true")
         .load(literal_paths(paths))
+        .select(
+            plain_path(F.col("_metadata.file_path")).alias("file_path"),
+            "content",
+            _encoding(F.substring("content", 1, _HEAD_BYTES)).alias("encoding"),
+        )
     )
-    path = plain_path(F.col("_metadata.file_path"))
-    return files.select(path.alias("path"), F.sha2("content", 256).alias("sha256"))
-
-
-def hash_files(spark: SparkSession, sizes: Mapping[str, int]) -> dict[str, str]:
-    """SHA-256 of the content by path, for the files of one round with their sizes.
-
-    Files of ordinary size are hashed inside the JVM, each as one row. Larger ones are streamed
-    through constant memory, one task per file; where the file system cannot be opened from
-    Python they too are read as rows. Files that cannot be read at all are left out.
-    """
-
-    def collected(hashed: DataFrame) -> dict[str, str]:
-        return {r.path: r.sha256 for r in hashed.where("sha256 is not null").collect()}
-
-    large = [p for p, size in sizes.items() if size > HASH_IN_MEMORY]
-    digests: dict[str, str] = {}
-    if large:
-        listed = spark.createDataFrame([(p,) for p in large], "path string")
-        listed = listed.repartition(len(large), "path")
-        digests = collected(listed.select("path", _streamed_sha256()(F.col("path")).alias("sha256")))
-    rest = [p for p in sizes if p not in digests]
-    if rest:
-        digests |= collected(_hashed_in_memory(spark, rest))
-    return digests
+    text = F.decode("content", "ISO-8859-1")
+    text = F.when(F.startswith(F.col("encoding"), F.lit("UTF-16")), F.translate(text, "\0", "")).otherwise(text)
+    tag = F.nullif(F.regexp_extract(text, r"<((?:[\w.-]+:)?entry)[\s/>]", 1), F.lit(""))
+    return files.select("file_path", F.sha2("content", 256).alias("source_file_hash"), tag.alias("entry_tag"), "encoding")
 
 
 def _below(path: Column, root: str) -> Column:

@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 from tenderlake.functions.contract import comparable_amount, status_rank
 from tenderlake.schema import SILVER_SCHEMA
-from tenderlake.sources.bronze import read_or_empty, write_partitioned
+from tenderlake.sources import versions
+from tenderlake.sources.bronze import replace_table
 
-# A mart published as one JSON array must stay small; larger ones are written as JSON lines.
-JSON_ARRAY_ROWS = 100_000
 _INDEX_ROW_GROUP = 100_000
 
 
@@ -21,11 +20,13 @@ def silver_columns(contracts: DataFrame) -> DataFrame:
 
 
 def write_silver(contracts: DataFrame, path: str) -> None:
-    write_partitioned(silver_columns(contracts), path, ("source", "year"), "overwrite")
+    """Replace Silver as a whole: nothing of the table before stays, whatever partitions it had."""
+    replace_table(silver_columns(contracts), path, ("source", "year"))
 
 
 def read_silver(spark: SparkSession, path: str) -> DataFrame:
-    return read_or_empty(spark, path, SILVER_SCHEMA).select(SILVER_SCHEMA.names)
+    found = versions.read_or_empty(spark, versions.current(spark, path), SILVER_SCHEMA)
+    return found.select(SILVER_SCHEMA.names)
 
 
 def contracts_of(silver: DataFrame) -> DataFrame:
@@ -52,26 +53,16 @@ def json_lines(mart: DataFrame) -> DataFrame:
     return mart.select(F.to_json(F.struct(*names), {"ignoreNullFields": "false"}).alias("value"))
 
 
-def json_array(mart: DataFrame) -> DataFrame:
-    """The whole (small, ordered) mart as one JSON array in one row."""
-    numbered = json_lines(mart).withColumn("pos", F.monotonically_increasing_id())
-    items = F.sort_array(F.collect_list(F.struct("pos", "value")))
-    text = F.array_join(F.transform(items, lambda r: r["value"]), ", ")
-    return numbered.agg(F.concat(F.lit("["), text, F.lit("]")).alias("value"))
-
-
 def write_gold(mart: DataFrame, folder: str, name: str) -> int:
-    """Parquet plus JSON copy of one mart; returns its row count.
+    """Parquet plus a copy as JSON lines of one mart; returns its row count.
 
     The mart is computed once, and the JSON is made from the stored Parquet.
     """
     table = f"{folder}/{name}.parquet"
     mart.write.mode("overwrite").option("compression", "zstd").parquet(table)
     stored = mart.sparkSession.read.parquet(table)
-    rows = stored.count()
-    as_json = json_array(stored) if rows <= JSON_ARRAY_ROWS else json_lines(stored)
-    as_json.write.mode("overwrite").text(f"{folder}/{name}.json")
-    return rows
+    json_lines(stored).write.mode("overwrite").text(f"{folder}/{name}.json")
+    return stored.count()
 
 
 def read_gold(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -15,7 +15,18 @@ from tenderlake.operators.canonical import (
     with_match_keys,
 )
 from tenderlake.schema import BRONZE_SCHEMA
-from tenderlake.sources.bronze import read_or_empty, write_partitioned
+from tenderlake.sources import versions
+from tenderlake.sources.versions import read_or_empty
+
+
+def _kept_buckets(spark: SparkSession, table: str, buckets: int) -> int:
+    """The table's number of buckets, stored beside it by the first batch."""
+    beside = f"{table.rstrip('/')}-buckets"
+    stored = read_or_empty(spark, beside, "buckets int").first()
+    if stored is None:
+        spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.parquet(beside)
+        return buckets
+    return stored.buckets
 
 
 def merge_latest(
@@ -25,9 +36,13 @@ def merge_latest(
 
     The table is split by key hash; only the buckets the batch touches are read and replaced.
     Taking the latest row is idempotent, so a replayed batch changes nothing. The table is derived
-    data: should the driver die while partitions are swapped, rebuild it from Bronze.
+    data: should the driver die while partitions are swapped, rebuild it from Bronze. The number of
+    buckets belongs to the table: another one than it was made with is refused.
     """
     spark = batch.sparkSession
+    kept = _kept_buckets(spark, table, buckets)
+    if kept != buckets:
+        raise ValueError(f"{table} has {kept} buckets, not {buckets}")
     bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
     newest = latest_per_key(batch, keys, order).withColumn("bucket", bucket).persist()
     try:
@@ -35,7 +50,14 @@ def merge_latest(
         if touched:
             current = read_or_empty(spark, table, newest.schema).where(F.col("bucket").isin(touched))
             merged = latest_per_key(current.select(newest.columns).unionByName(newest), keys, order)
-            write_partitioned(merged, table, ["bucket"], "overwrite")
+            (
+                merged.hint("rebalance", "bucket")
+                .write.mode("overwrite")
+                .option("partitionOverwriteMode", "dynamic")
+                .option("compression", "zstd")
+                .partitionBy("bucket")
+                .parquet(table)
+            )
     finally:
         newest.unpersist()
 
@@ -63,10 +85,10 @@ def stream_contracts(
 ) -> StreamingQuery:
     """Keep the canonical record of every procurement file up to date with Bronze.
 
-    The table holds Bronze columns; derive the others from it as from Bronze. Rewritten Bronze
-    files are seen again and change nothing.
+    The table holds Bronze columns; derive the others from it as from Bronze. The run reads the version
+    of Bronze that is current when it starts; the files of a new version are seen again and change nothing.
     """
-    arrivals = spark.readStream.schema(BRONZE_SCHEMA).parquet(bronze)
+    arrivals = spark.readStream.schema(BRONZE_SCHEMA).parquet(versions.current(spark, bronze))
     return stream_latest(
         with_match_keys(arrivals), table, checkpoint, RECORD_KEY, latest_first(), buckets=buckets
     )

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tenderlake.functions.text import plain_path
 from tenderlake.sources.bronze import FILES_PER_ROUND, ingest_files
 
 
@@ -13,6 +15,7 @@ def stream_feed(
     folder: str,
     source: str,
     bronze: str,
+    log: str,
     quarantine: str,
     checkpoint: str,
     *,
@@ -21,7 +24,7 @@ def stream_feed(
 ) -> StreamingQuery:
     """Ingest the files that arrived since the last run, then stop.
 
-    The checkpoint remembers paths; the content hash in Bronze keeps a renamed copy or a replayed
+    The checkpoint remembers paths; the content hash in the log keeps a renamed copy or a replayed
     batch from being added twice.
     """
     arrivals = (
@@ -29,13 +32,14 @@ def stream_feed(
         .schema("path string, modificationTime timestamp, length bigint, content binary")
         .options(recursiveFileLookup="true", pathGlobFilter=pattern, maxFilesPerTrigger=files_per_batch)
         .load(folder)
-        .select("path", "length")
+        .select(
+            plain_path(F.col("_metadata.file_path")).alias("file_path"), "length", F.col("modificationTime").alias("modified")
+        )
     )
 
     def add(batch: DataFrame, _: int) -> None:
-        sizes = {r.path: r.length for r in batch.collect()}  # at most files_per_batch names
-        if sizes:
-            ingest_files(batch.sparkSession, sizes, source, bronze, quarantine, pattern=pattern)
+        if batch.limit(1).count():  # at most files_per_batch rows
+            ingest_files(batch.sparkSession, batch, source, bronze, log, quarantine, pattern=pattern)
 
     return (
         arrivals.writeStream.foreachBatch(add)

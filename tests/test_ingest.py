@@ -25,19 +25,19 @@ def test_ingest_once_per_content(spark, tmp_path):
     X.write(tmp_path / "in/2022/roto.atom", X.entry("3", X.folder("C")),
             X.entry("4", X.folder("D").replace("</a:Party>", "")))
     first = run(spark, tmp_path)
-    assert (first.files_total, first.files_processed, first.files_skipped) == (4, 2, 2)
-    assert (first.records, first.malformed_entries, first.errors) == (3, 1, [])
+    assert first.files == {"written": 2, "known": 1, "empty": 1}
+    assert (first.entries_written, first.entries_quarantined) == (3, 1)
     assert keys(spark, tmp_path) == ["A", "B", "C"]
     second = run(spark, tmp_path)
-    assert (second.files_processed, second.files_skipped, second.records) == (0, 4, 0)
+    assert (second.files, second.entries_written) == ({"passed over": 4}, 0)
     X.write(tmp_path / "in/2023/nuevo.atom", X.entry("5", X.folder("E"), updated="2023-01-01"))
-    assert run(spark, tmp_path).records == 1
+    assert run(spark, tmp_path).entries_written == 1
     assert keys(spark, tmp_path) == ["A", "B", "C", "E"]
     again = run(spark, tmp_path, overwrite=True)
-    assert again.files_processed == 3 and again.records == 4
+    assert again.files["written"] == 3 and again.entries_written == 4
     assert keys(spark, tmp_path) == ["A", "B", "C", "E"]
     quarantined = spark.read.parquet(f"{tmp_path}/bad").collect()
-    assert [r.source_file for r in quarantined] == ["roto.atom"]
+    assert {r.source_file for r in quarantined} == {"roto.atom"}
     counts = {r.source: r.filas for r in bronze.compact_bronze(spark, f"{tmp_path}/bronze").collect()}
     assert counts == {SOURCE: 4} and keys(spark, tmp_path) == ["A", "B", "C", "E"]
 
@@ -48,15 +48,14 @@ def test_log_loss_does_not_duplicate(spark, tmp_path):
     stats = bronze.ingest_folder(
         spark, f"{tmp_path}/in", SOURCE, f"{tmp_path}/bronze", f"{tmp_path}/new-log", f"{tmp_path}/bad"
     )
-    assert stats.files_skipped == 1 and keys(spark, tmp_path) == ["A"]
+    assert stats.files == {"known": 1} and keys(spark, tmp_path) == ["A"]
 
 
-def test_several_rounds(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(bronze, "FILES_PER_ROUND", 2)
+def test_several_rounds(spark, tmp_path):
     for i in range(5):
         X.write(tmp_path / f"in/{i}.atom", X.entry(str(i), X.folder(f"K{i}")))
-    stats = run(spark, tmp_path)
-    assert stats.files_processed == 5 and len(keys(spark, tmp_path)) == 5
+    stats = run(spark, tmp_path, files_per_round=2)
+    assert stats.files == {"written": 5} and len(keys(spark, tmp_path)) == 5
 
 
 def test_trace_columns(spark, tmp_path):
@@ -72,21 +71,54 @@ def test_trace_columns(spark, tmp_path):
     assert row.ingested_at.endswith("+00:00")
 
 
-def test_large_files_are_hashed_in_pieces(spark, tmp_path, monkeypatch):
+def test_unusual_file_names(spark, tmp_path):
     import hashlib
 
     paths = [X.write(tmp_path / f"in/grande ñ {i} [1].atom", X.entry(str(i), X.folder(f"G{i}"))) for i in range(3)]
-    sizes = {f"file:{p}": p.stat().st_size for p in paths}
-    in_memory = files.hash_files(spark, sizes)
-    monkeypatch.setattr(files, "HASH_IN_MEMORY", 10)
-    streamed = files.hash_files(spark, sizes)
-    assert streamed == in_memory == {f"file:{p}": hashlib.sha256(p.read_bytes()).hexdigest() for p in paths}
-    assert run(spark, tmp_path).records == 3
+    listed = files.list_files(spark, f"{tmp_path}/in")
+    found = {r.file_path: r for r in files.describe_files(spark, listed).collect()}
+    assert {p.removeprefix("file:"): r.source_file_hash for p, r in found.items()} == {
+        str(p): hashlib.sha256(p.read_bytes()).hexdigest() for p in paths
+    }
+    assert {(r.entry_tag, r.encoding) for r in found.values()} == {("entry", "UTF-8")}
+    assert run(spark, tmp_path).entries_written == 3
+
+
+def test_only_files_without_entries(spark, tmp_path):
+    X.write(tmp_path / "in/2021/nada.atom")
+    assert run(spark, tmp_path).files == {"empty": 1}
+    assert run(spark, tmp_path).files == {"passed over": 1} and keys(spark, tmp_path) == []
+
+
+def test_only_malformed_entries(spark, tmp_path):
+    X.write(tmp_path / "in/roto.atom", X.entry("4", X.folder("D").replace("</a:Party>", "")))
+    first = run(spark, tmp_path)
+    assert (first.files, first.entries_written, first.entries_quarantined) == ({"written": 1}, 0, 1)
+    assert run(spark, tmp_path).files == {"passed over": 1}
+
+
+def test_prefixes_and_encodings(spark, tmp_path):
+    def text(key, number, prefix):
+        body = X.entry(key, X.folder(number, buyer="Diputación de Ávila")) + X.entry(f"{key}b", X.folder(f"{number} bis"))
+        body = body.replace("<entry>", f"<{prefix}entry>").replace("</entry>", f"</{prefix}entry>")
+        return X.HEAD + body + X.TAIL
+
+    folder = tmp_path / "in/2021"
+    folder.mkdir(parents=True)
+    (folder / "a.atom").write_text(text("1", "Año 1", "at0:"), encoding="utf-8")
+    latin = text("2", "Eñ2", "").replace('encoding="UTF-8"', "encoding='iso-8859-1'")
+    (folder / "b.atom").write_bytes(latin.encode("iso-8859-1"))
+    (folder / "c.atom").write_bytes(text("3", "Ñ3", "p.x:").replace("UTF-8", "UTF-16").encode("utf-16"))
+    report = run(spark, tmp_path)
+    assert report.files == {"written": 3} and report.entries_quarantined == 0
+    assert keys(spark, tmp_path) == sorted(["Año 1", "Año 1 bis", "Eñ2", "Eñ2 bis", "Ñ3", "Ñ3 bis"])
+    names = bronze.read_bronze(spark, f"{tmp_path}/bronze").select("organo_nombre").distinct().collect()
+    assert {r.organo_nombre for r in names} == {"Diputación de Ávila", "Concejo de Prueba"}
 
 
 def test_missing_folder_is_empty(spark, tmp_path):
     stats = run(spark, tmp_path)
-    assert (stats.files_total, stats.records) == (0, 0)
+    assert (stats.files, stats.entries_written) == ({}, 0)
     assert bronze.read_bronze(spark, f"{tmp_path}/bronze").count() == 0
 
 
@@ -102,7 +134,7 @@ def test_manifest(spark, tmp_path):
 def test_streamed_ingest(spark, tmp_path):
     def stream():
         stream_feed(
-            spark, f"{tmp_path}/in", SOURCE, f"{tmp_path}/bronze", f"{tmp_path}/bad", f"{tmp_path}/chk"
+            spark, f"{tmp_path}/in", SOURCE, f"{tmp_path}/bronze", f"{tmp_path}/log", f"{tmp_path}/bad", f"{tmp_path}/chk"
         ).awaitTermination()
 
     X.write(tmp_path / "in/a b.atom", X.entry("1", X.folder("A")))

@@ -10,7 +10,7 @@ import feeds as X
 from tenderlake.plans import medallion as M
 from tenderlake.plans.marts import MART_NAMES
 from tenderlake.sources import dims, tables
-from tenderlake.streaming.canonical import stream_contracts, stream_latest
+from tenderlake.streaming.canonical import merge_latest, stream_contracts, stream_latest
 
 
 def awarded(number, buyer, supplier, amount, **options):
@@ -42,7 +42,7 @@ def lake(spark, tmp_path_factory):
         {"anio": 2021, "ccaa": "Asturias", "poblacion": 1000}, {"anio": 2025, "ccaa": "Asturias", "poblacion": 900},
         {"anio": 2025, "ccaa": "Atlántida", "poblacion": 5}]))
     stats = [M.ingest(spark, lake, s) for s in ("contratos_menores", "encargos", "agregaciones")]
-    assert [s.records for s in stats] == [41, 1, 0]
+    assert [s.entries_written for s in stats] == [41, 1, 0]
     M.compact(spark, lake)
     assert M.index_files(spark, lake) == 3
     counts = M.build_marts(spark, lake)
@@ -58,6 +58,31 @@ def test_silver_is_deduplicated(spark, lake):
     assert (latest.adj_id, latest.importe, latest.estado, latest.year) == ("B9", 5000.0, "ADJ", 2022)
 
 
+def test_rebuilding_silver_leaves_nothing_behind(spark, tmp_path):
+    """A record that moves to another year leaves a partition empty; nothing of it may stay."""
+    lake = M.Lake(f"{tmp_path}/data", f"{tmp_path}/out")
+    folder = tmp_path / "data/placsp/encargos"
+    X.write(folder / "2021/a.atom", X.entry("1", awarded("R1", "P1", "B1", 100), updated="2021-02-01"))
+    M.ingest(spark, lake, "encargos")
+    assert M.build_silver(spark, lake) == 1
+    X.write(folder / "2022/b.atom", X.entry("1b", awarded("R1", "P1", "B1", 200), updated="2022-02-01"))
+    M.ingest(spark, lake, "encargos")
+    for _ in range(4):
+        assert M.build_silver(spark, lake) == 1
+    assert [(r.year, r.importe) for r in tables.read_silver(spark, lake.silver).collect()] == [(2022, 200.0)]
+    assert len([p for p in (tmp_path / "out/silver").iterdir() if p.is_dir()]) == 2
+
+
+def test_inspect_returns_every_record(spark, tmp_path):
+    lake = M.Lake(f"{tmp_path}/data", f"{tmp_path}/out")
+    entries = [X.entry(f"{k}", awarded("SAME", f"P{k}", "B1", 100 + k)) for k in range(30)]
+    X.write(tmp_path / "data/placsp/encargos/2021/a.atom", *entries)
+    M.ingest(spark, lake, "encargos")
+    M.build_silver(spark, lake)
+    assert M.index_files(spark, lake) == 1
+    assert len(M.inspect(spark, lake, "SAME").collect()) == 30
+
+
 def test_marts_and_their_json(spark, lake):
     marts = M.load_marts(spark, lake)
     resumen = {r.source: r for r in marts["resumen"].collect()}
@@ -70,10 +95,12 @@ def test_marts_and_their_json(spark, lake):
     percapita = {(r.ccaa, r.year): r for r in marts["territorio_percapita"].collect()}
     assert percapita["Principado de Asturias", 2021].per_capita == round(sum(range(1001, 1040)) / 1000, 2)
     for name in MART_NAMES:
-        [text] = [r.value for r in spark.read.text(f"{lake.gold}/{name}.json").collect()]
-        assert [set(r) == set(marts[name].columns) for r in json.loads(text)] == [True] * marts[name].count()
-    years = [r["year"] for r in json.loads(spark.read.text(f"{lake.gold}/serie_anual.json").first().value)]
+        rows = [json.loads(r.value) for r in spark.read.text(f"{lake.gold}/{name}.json").collect()]
+        assert [set(r) == set(marts[name].columns) for r in rows] == [True] * marts[name].count()
+    years = [json.loads(r.value)["year"] for r in spark.read.text(f"{lake.gold}/serie_anual.json").collect()]
     assert years == sorted(years)
+    unmapped = spark.read.parquet(f"{lake.gold}/unmapped_regions.parquet").collect()
+    assert {(r.dimension, r.nombre) for r in unmapped} == {("alignment", "Atlántida"), ("population", "Atlántida")}
 
 
 def test_find_inspect_and_stats(spark, lake):
@@ -97,7 +124,7 @@ def test_command_line(spark, lake, capsys):
     assert "contratos_menores/2022/m2.atom" in call("find", "--adjudicatario", "b9", "--min-importe", "4000")
     assert "2.0E11" in call("inspect", "E0", "--source", "encargos")
     assert "Proveedor B9" in call("stats", "--nif", "B9")
-    assert "files_skipped=2" in call("ingest", "contratos_menores")
+    assert "'passed over': 2" in call("ingest", "contratos_menores")
     assert "E1" in call("parse-file", f"{lake.data_root}/contratos_menores/2021/m1.atom", "--limit", "2")
 
 
@@ -144,3 +171,5 @@ def test_streamed_latest_state_equals_batch(spark, tmp_path):
         stream_latest(arrivals, f"{tmp_path}/t", f"{tmp_path}/c", ["k"], order, buckets=4).awaitTermination()
     got = {r.k: r.v for r in spark.read.parquet(f"{tmp_path}/t").collect()}
     assert got == dict.fromkeys("abcde", 3)
+    with pytest.raises(ValueError, match="4 buckets"):
+        merge_latest(df, f"{tmp_path}/t", ["k"], order, 8)
