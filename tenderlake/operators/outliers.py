@@ -14,12 +14,17 @@ _MAD_SCALE = 1.4826
 
 
 def peer_statistics(rows: DataFrame, min_peers: int = 30) -> DataFrame:
-    """Median and MAD of the log amount per peer group with enough members."""
-    medians = settle(
-        exact_median(rows, ["peer"], "limp").where(F.col("n") >= min_peers)
-    ).withColumnRenamed("median", "med")
-    distances = rows.join(medians, "peer").select("peer", F.abs(F.col("limp") - F.col("med")).alias("dist"))
-    spreads = exact_median(distances, ["peer"], "dist").select("peer", F.col("median").alias("madv"))
+    """Median and MAD of the log amount per peer group with enough members.
+
+    Both medians are taken from the amounts counted once per peer group.
+    """
+    counted = settle(rows.groupBy("peer", "limp").agg(F.count("*").alias("rows")))
+    medians = exact_median(counted, ["peer"], "limp", weight="rows").where(F.col("n") >= min_peers)
+    medians = medians.withColumnRenamed("median", "med")
+    distances = counted.join(medians, "peer").select(
+        "peer", "rows", F.abs(F.col("limp") - F.col("med")).alias("dist")
+    )
+    spreads = exact_median(distances, ["peer"], "dist", weight="rows").select("peer", F.col("median").alias("madv"))
     return medians.join(spreads.where("madv > 0"), "peer")
 
 
@@ -35,7 +40,7 @@ def price_outliers(
         "peer": peer_group(F.col("cpv"), F.col("tipo_contrato")),
         "limp": F.ln("importe"),
     })
-    stats = settle(peer_statistics(rows.select("peer", "limp"), min_peers))
+    stats = peer_statistics(rows.select("peer", "limp"), min_peers)
     z = (F.col("limp") - F.col("med")) / (_MAD_SCALE * F.col("madv"))
     scored = rows.join(stats, "peer").withColumn("z", z)
     first = F.col("z").asc_nulls_last() if cheapest else F.col("z").desc_nulls_last()

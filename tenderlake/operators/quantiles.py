@@ -7,25 +7,29 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Histogram width. The values used here are logarithms of doubles and distances between them, so
-# a group can fill at most (710 + 745) / width bins however many rows it has.
+# Histogram width on the scale of sign(v) * ln(1 + |v|), which keeps the order of values and puts all
+# doubles between -710 and 710: a group fills at most 1420 / width bins, whatever its values.
 BIN_WIDTH = 1 / 1024
 
 
 def exact_median(
-    df: DataFrame, keys: Sequence[str], value: str, width: float = BIN_WIDTH
+    df: DataFrame, keys: Sequence[str], value: str, width: float = BIN_WIDTH, weight: str | None = None
 ) -> DataFrame:
     """(keys, n, median) with the exact median of the non-NULL values per group.
 
+    ``weight`` says how often a row counts, for values that were counted before.
+
     Spark's own ``median`` gathers all distinct values of a group in one task. Here a histogram
     (pre-aggregated before the shuffle) locates the bin that holds the middle rank, and only that
     bin's distinct values are ranked, so no group is ever brought together.
     """
     keys = list(keys)
+    scaled = F.signum(value) * F.log1p(F.abs(F.col(value)))
     binned = df.where(F.col(value).isNotNull()).select(
-        *keys, F.col(value).alias("_v"), F.floor(F.col(value) / width).alias("_bin")
+        *keys, F.col(value).alias("_v"), F.floor(scaled / width).alias("_bin"),
+        (F.col(weight) if weight else F.lit(1)).cast("bigint").alias("_w"),
     )
-    histogram = binned.groupBy(*keys, "_bin").agg(F.count("*").alias("_c"))
+    histogram = binned.groupBy(*keys, "_bin").agg(F.sum("_w").alias("_c"))
     group = Window.partitionBy(*keys)
     running = group.orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = histogram.select(
@@ -39,7 +43,7 @@ def exact_median(
     inside = (
         binned.join(middle.select(*keys, "_bin", "n", "_before", "_low", "_high"), [*keys, "_bin"])
         .groupBy(*keys, "_bin", "n", "_before", "_low", "_high", "_v")
-        .agg(F.count("*").alias("_c"))
+        .agg(F.sum("_w").alias("_c"))
     )
     in_bin = (
         Window.partitionBy(*keys, "_bin")

@@ -26,31 +26,20 @@ def search_index(silver: DataFrame, manifest: DataFrame) -> DataFrame:
     """Silver without the contract text, plus the path of the feed file.
 
     The file in the folder of the contract's year is preferred, any file of that name comes next.
-    Paths are resolved once per (source, file, year) found in Silver, so the wide rows take part
-    in a single join and a repeated file name adds no rows.
+    The manifest is reduced to one row per (source, file name) with a path for each year folder, so
+    Silver takes part in one join and a repeated file name adds no rows.
     """
-    in_year = manifest.groupBy(
-        "source", F.col("basename").alias("source_file"), F.col("year_folder").alias("year")
-    ).agg(F.min("relpath").alias("in_year"))
-    anywhere = manifest.groupBy("source", F.col("basename").alias("source_file")).agg(
-        F.min("relpath").alias("anywhere")
+    per_year = manifest.groupBy("source", F.col("basename").alias("source_file"), "year_folder").agg(
+        F.min("relpath").alias("path")
     )
-    resolved = (
-        silver.select("source", "source_file", "year")
-        .distinct()
-        .join(in_year, ["source", "source_file", "year"], "left")
-        .join(anywhere, ["source", "source_file"])
-        .select(
-            F.col("source").alias("_source"), F.col("source_file").alias("_file"),
-            F.col("year").alias("_year"), F.coalesce("in_year", "anywhere").alias("fichero"),
-        )
-    )
-    same_file = (
-        (F.col("source") == F.col("_source"))
-        & (F.col("source_file") == F.col("_file"))
-        & F.col("year").eqNullSafe(F.col("_year"))
+    with_year = F.when(F.col("year_folder").isNotNull(), F.struct("year_folder", "path"))
+    per_name = per_year.groupBy("source", "source_file").agg(
+        F.map_from_entries(F.collect_list(with_year)).alias("in_year"), F.min("path").alias("anywhere")
     )
-    return silver.join(resolved, same_file, "left").select(*INDEX_COLUMNS)
+    found = silver.join(per_name, ["source", "source_file"], "left")
+    return found.withColumn(
+        "fichero", F.coalesce(F.try_element_at("in_year", F.col("year")), F.col("anywhere"))
+    ).select(*INDEX_COLUMNS)
 
 
 def attach_files(found: DataFrame, manifest: DataFrame) -> DataFrame:
