@@ -15,6 +15,7 @@ from tenderlake.operators.canonical import latest_per_key
 from tenderlake.operators.outliers import price_outliers
 from tenderlake.operators.quantiles import exact_median
 from tenderlake.plans import ledger as L
+from tenderlake.schema import RECORD_FIELDS
 from tenderlake.session import run_folder
 from tenderlake.sources import dims
 from tenderlake.sources.bronze import ingest_folder, read_bronze
@@ -143,25 +144,24 @@ def exact_median_of_events(spark: SparkSession, sf: str) -> DataFrame:
     return exact_median(L.read_table(spark, sf, "events"), ["event_type"], "value")
 
 
-_FEED_COLUMNS = [
-    "entry_id", "link_detalle", "title", "updated", "id_origen", "estado", "sum_id", "sum_organo",
-    "sum_importe", "sum_estado", "organo_nombre", "organo_id", "organo_nif", "organo_dir3",
-    "organo_id_plataforma", "admin_hierarchy", "objeto", "tipo_contrato", "cpv", "territorio_code",
-    "importe_sin_iva", "importe_total_con_iva", "n_resultados", "fecha_adjudicacion",
-    "adjudicatario_nombre", "adjudicatario_id", "adjudicatario_nif", "importe_adjudicado",
-    "importe_adjudicado_sin_iva", "year",
-]
-
-
 def feed_records(spark: SparkSession, sf: str) -> DataFrame:
     """The ledger written as feed XML and parsed back."""
-    return parse_fragments(L.feed_entries(spark, sf)).select(*_FEED_COLUMNS)
+    return parse_fragments(L.feed_entries(spark, sf)).select(*RECORD_FIELDS, "year")
 
 
 def ingested_feed(spark: SparkSession, sf: str) -> DataFrame:
-    """The same through files: write the feed, ingest it twice, summarise Bronze."""
+    """The same through files: write the feed, ingest it twice, summarise Bronze.
+
+    Half of the entries stand under a namespace prefix, and one folder holds tombstones only.
+    """
     run = _run_folder(spark, "feed")
-    L.feed_entries(spark, sf).write.text(f"{run}/feed")
+    entries = L.feed_entries(spark, sf).withColumn("prefixed", F.pmod(F.xxhash64("fragment"), F.lit(2)) == 1)
+    prefixed = F.regexp_replace("fragment", "^<entry>|</entry>$", "")
+    prefixed = F.concat(F.lit("<at0:entry>"), prefixed, F.lit("</at0:entry>"))
+    entries.where("not prefixed").select("fragment").write.text(f"{run}/feed/plain")
+    entries.where("prefixed").select(prefixed.alias("fragment")).write.text(f"{run}/feed/prefixed")
+    gone = F.concat(F.lit('<at:deleted-entry ref="'), "n_name", F.lit('" when="2020-01-01T00:00:00Z"/>'))
+    L.read_table(spark, sf, "nation").select(gone.alias("fragment")).write.text(f"{run}/feed/tombstones")
     for _ in range(2):
         ingest_folder(
             spark, f"{run}/feed", "perfil_contratante", f"{run}/bronze", f"{run}/log",

@@ -278,12 +278,20 @@ def feed_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     buyer = _element(
         "ext:LocatedContractingParty",
+        _tag("cbc:ContractingPartyTypeCode", line),
+        _tag("cbc:ActivityCode", F.when(line % 2 == 1, line % 4)),
         _element(
             "cac:Party",
             _identifier("DIR3", col("organo_nif")),
             _identifier("NIF", col("organo_id")),
             _identifier("ID_PLATAFORMA", F.concat(F.lit("PLAT-"), col("source"))),
+            _identifier("ID_OC_PLAT", F.when(line % 5 == 0, F.concat(F.lit("OC-"), col("source")))),
             _tag("cac:PartyName", _tag("cbc:Name", col("organo_nombre"))),
+            _element(
+                "cac:PostalAddress",
+                _tag("cbc:CityName", F.concat(F.lit("Ciudad de "), col("organo_nombre"))),
+                _tag("cbc:PostalZone", F.concat(F.lit("2"), F.substring("updated", 1, 4))),
+            ),
         ),
         parents,
     )
@@ -291,22 +299,28 @@ def feed_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
         "cac:ProcurementProject",
         _tag("cbc:Name", col("objeto")),
         _tag("cbc:TypeCode", col("tipo_contrato")),
+        _tag("cbc:SubTypeCode", F.concat(col("tipo_contrato"), F.lit("0"))),
         _element(
             "cac:BudgetAmount",
+            _tag("cbc:EstimatedOverallContractAmount", col("importe_adjudicado")),
             _tag("cbc:TotalAmount", col("importe_total_con_iva"), ' currencyID="EUR"'),
             _tag("cbc:TaxExclusiveAmount", col("importe_sin_iva")),
         ),
         _element("cac:RequiredCommodityClassification", _tag("cbc:ItemClassificationCode", col("cpv"))),
-        _element("cac:RealizedLocation", _tag("cbc:CountrySubentityCode", col("territorio_code"))),
+        _element(
+            "cac:RealizedLocation",
+            _tag("cbc:CountrySubentity", col("territorio_nombre")),
+            _tag("cbc:CountrySubentityCode", col("territorio_code")),
+        ),
     )
 
-    def lot(date: Column, winner: Column, payable: Column, untaxed: Column) -> Column:
+    def lot(date: Column, winner: Column, payable: Column, untaxed: Column, code: Column) -> Column:
         amounts = _element(
             "cac:LegalMonetaryTotal", _tag("cbc:PayableAmount", payable), _tag("cbc:TaxExclusiveAmount", untaxed)
         )
         return _element(
             "cac:TenderResult",
-            _tag("cbc:AwardDate", date), winner, _element("cac:AwardedTenderedProject", amounts),
+            _tag("cbc:ResultCode", code), _tag("cbc:AwardDate", date), winner, _element("cac:AwardedTenderedProject", amounts),
         )
 
     none = F.lit(None).cast("string")
@@ -319,9 +333,9 @@ def feed_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     awarded = col("n_resultados") == 1
     first_date = F.when(line % 2 == 0, col("fecha_adjudicacion"))
     lots = [
-        F.when(awarded, lot(first_date, winner, col("importe_adjudicado").cast("string"), none)),
-        F.when(awarded & (line % 3 > 0), lot(col("fecha_adjudicacion"), blank, qty, qty)),
-        F.when(awarded & (line % 3 > 1), _element("ext:Lots", lot(none, blank, F.lit("n/a"), none))),
+        F.when(awarded, lot(first_date, winner, col("importe_adjudicado").cast("string"), none, line + 7)),
+        F.when(awarded & (line % 3 > 0), lot(col("fecha_adjudicacion"), blank, qty, qty, none)),
+        F.when(awarded & (line % 3 > 1), _element("ext:Lots", lot(none, blank, F.lit("n/a"), none, none))),
     ]
     folder = _element(
         "ext:ContractFolderStatus",
