@@ -2,8 +2,11 @@
 
 Each word has a log-odds of occurring in toxic rather than other documents. It is estimated with
 Dirichlet priors in a chain: all words, words with the same first four bytes, first five bytes, the
-word itself; each level is the prior of the next, so a rare word takes after words like it. Words
-that the sample cannot tell from the average share one slightly negative score. A linear scan finds
+word itself; each level is the prior of the next, so a rare word takes after words like it. What is
+counted are a word's contexts, i.e. distinct words before it, each with the share of toxic documents
+among those that have it: however often a passage is copied, it is evidence once. A beginning is counted by
+its distinct words in the same way. Terms that the sample cannot tell from the average share one
+slightly negative score. A linear scan finds
 all maximal segments of the word scores, i.e. every passage whose score no shorter or longer one
 around it exceeds. A passage's score S in a text of n words has the extreme-value expectation
 E = K n exp(-lambda S) under ordinary text; passages with E below 1 are significant. Their evidence
@@ -18,6 +21,7 @@ read for a score.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,14 +32,14 @@ from tenderlake.llm import words as W
 from tenderlake.llm.labelled import held_out, training_sample
 from tenderlake.llm.storage import packed, stored, unpacked
 
-SAMPLE_ROWS = 20_000  # labelled documents to learn from
+SAMPLE_ROWS = 12_000  # labelled documents to learn from
 MODEL_TERMS = 50_000  # words and beginnings that keep a score of their own
 BEGINNINGS = (4, 5)  # bytes
 FOLDS = 3
-PRIOR = 4.0  # weight of a level's prior, in documents
+PRIOR = 4.0  # weight of a level's prior, in contexts
 DRIFT = 0.25  # taken from every word's score, so that ordinary text falls
-LEAST_SCORE = 3.0  # standard errors by which a listed term differs from the average
-LEAST_DOCS = 3
+LEAST_SCORE = 4.0  # standard errors by which a listed term differs from the average
+LEAST_CONTEXTS = 4
 REJECT_AT = 0.7
 
 
@@ -97,44 +101,79 @@ def _levels(data: np.ndarray | None):
     return starts, ends, (word, *reversed(beginnings))
 
 
-def _count_terms(batches):
-    """Each document's distinct terms by level, with the term one level up as parent."""
+def _count_contexts(batches):
+    """Each document's distinct words with their beginnings and the words before them."""
     for batch in batches:
         out = []
         fold, label = batch.column("fold").to_numpy(), batch.column("label").to_numpy()
         for row, data in enumerate(W.texts(batch.column("text"))):
             levels = _levels(data)[2]
-            for depth, hashes in enumerate(levels):
-                terms, first = np.unique(hashes, return_index=True)
-                parents = levels[depth + 1][first] if depth + 1 < len(levels) else np.zeros(len(terms), np.int64)
-                n = len(terms)
-                out.append((np.full(n, depth), terms, parents, np.full(n, fold[row]), np.full(n, label[row])))
-        columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 5
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, pa.int64()) for c in columns], names=["level", "term", "parent", "fold", "label"]
+            before = np.concatenate([np.zeros(min(1, len(levels[0])), np.int64), levels[0][:-1]])
+            pairs = W.mixed(levels[0].view(np.uint64)) + before.view(np.uint64)
+            first = np.unique(pairs, return_index=True)[1]
+            n = len(first)
+            out.append((*(h[first] for h in levels), before[first], np.full(n, fold[row]), np.full(n, label[row])))
+        columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=_COUNTED)
+
+
+_LEVELS = tuple(f"level_{k}" for k in range(len(BEGINNINGS) + 1))
+_COUNTED = [*_LEVELS, "context", "fold", "label"]
+_VARIANTS = (*range(FOLDS), FOLDS)  # without fold 0, 1, ...; all
+
+
+def _word_evidence(counted: DataFrame) -> DataFrame:
+    """Words with their beginnings; for each variant the number of contexts and their toxic shares' sum."""
+    by_fold = [
+        c
+        for k in range(FOLDS)
+        for c in (
+            F.sum((F.col("fold") == k).cast("int") * F.col("label")).alias(f"toxic_{k}"),
+            F.sum((F.col("fold") == k).cast("int")).alias(f"docs_{k}"),
         )
+    ]
+    contexts = counted.groupBy(*_LEVELS, "context").agg(*by_fold)
+    out = []
+    for v in _VARIANTS:
+        toxic, docs = (sum((F.col(f"{c}_{k}") for k in range(FOLDS) if k != v), F.lit(0)) for c in ("toxic", "docs"))
+        out += [F.sum(F.coalesce(F.try_divide(toxic, docs), F.lit(0.0))).alias(f"y_{v}"), F.sum((docs > 0).cast("int")).alias(f"n_{v}")]
+    return contexts.groupBy(*_LEVELS).agg(*out)
+
+
+def _level_evidence(words: DataFrame, depth: int) -> DataFrame:
+    """The same for the terms of one level; a beginning's evidence is that of its distinct words."""
+    parent = F.col(_LEVELS[depth + 1]) if depth + 1 < len(_LEVELS) else F.lit(0).cast("long")
+    values = [F.col(f"{c}_{v}") for v in _VARIANTS for c in "yn"]
+    names = [f"{c}_{v}" for v in _VARIANTS for c in "yn"]
+    keys = [F.col(_LEVELS[depth]).alias("term"), parent.alias("parent")]
+    if depth == 0:
+        rows = words.select(*keys, *values)
+    else:
+        each = [
+            e
+            for v in _VARIANTS
+            for e in (
+                F.sum(F.coalesce(F.try_divide(f"y_{v}", f"n_{v}"), F.lit(0.0))).alias(f"y_{v}"),
+                F.sum((F.col(f"n_{v}") > 0).cast("int")).alias(f"n_{v}"),
+            )
+        ]
+        rows = words.groupBy(*keys).agg(*each)
+    return rows.select(F.lit(depth).alias("level"), "term", "parent", *names)
 
 
-def _scores(terms: list[dict], without: int | None, drift: float) -> Scores:
-    """Word scores from documents outside the fold ``without``."""
-    folds = [k for k in range(FOLDS) if k != without]
-    toxic = {(r["level"], r["term"]): sum(r[f"toxic_{k}"] for k in folds) for r in terms}
-    docs = {(r["level"], r["term"]): sum(r[f"docs_{k}"] for k in folds) for r in terms}
-    share = toxic.get((-1, 0), 0) / max(1, docs.get((-1, 0), 0))
-    share = min(max(share, 1e-4), 1 - 1e-4)
+def _scores(terms: list[dict], share: float, variant: int, drift: float) -> Scores:
+    """Scores of the listed terms from the evidence of one variant."""
     known = {}
-    depths = len(BEGINNINGS) + 1
-    for r in sorted((r for r in terms if r["level"] >= 0), key=lambda r: -r["level"]):
-        at, up = (r["level"], r["term"]), (r["level"] + 1, r["parent"])
-        prior = known.get(up, share)
-        known[at] = (toxic[at] + PRIOR * prior) / (docs[at] + PRIOR)
+    for r in sorted(terms, key=lambda r: -r["level"]):
+        prior = known.get((r["level"] + 1, r["parent"]), share)
+        known[r["level"], r["term"]] = (r[f"y_{variant}"] + PRIOR * prior) / (r[f"n_{variant}"] + PRIOR)
     base = np.log(share / (1 - share))
     out_terms, out_values = [], []
-    for depth in range(depths):
+    for depth in range(len(_LEVELS)):
         own = sorted((t, p) for (level, t), p in known.items() if level == depth)
-        p = np.array([p for _, p in own])
+        p = np.clip(np.array([p for _, p in own]), 1e-6, 1 - 1e-6)
         out_terms.append(np.array([t for t, _ in own], dtype=np.int64))
-        out_values.append(np.log(p / (1 - p)) - base - drift if len(own) else np.zeros(0))
+        out_values.append(np.log(p / (1 - p)) - base - drift)
     return Scores(tuple(out_terms), tuple(out_values), -drift)
 
 
@@ -193,39 +232,28 @@ def fit(docs: DataFrame, labels: DataFrame, *, rows: int = SAMPLE_ROWS) -> Model
     spark = docs.sparkSession
     sample = training_sample(docs, labels, "toxic", rows)
     sample = stored(sample.withColumn("fold", F.pmod(F.xxhash64("text", F.lit(7)), F.lit(FOLDS)).cast("int")))
-    by_fold = [
-        c
-        for k in range(FOLDS)
-        for c in (
-            F.sum(F.when(F.col("fold") == k, F.col("label")).otherwise(0)).alias(f"toxic_{k}"),
-            F.sum((F.col("fold") == k).cast("long")).alias(f"docs_{k}"),
-        )
-    ]
-    whole = sample.agg(*by_fold).first()
-    total = {c: whole[c] or 0 for c in whole.asDict()}
-    n, toxic = (sum(total[f"{c}_{k}"] for k in range(FOLDS)) for c in ("docs", "toxic"))
-    share = toxic / n if n else 0.0
+    share = sample.agg(F.avg("label")).first()[0] or 0.0
     if not 0 < share < 1:
-        none = Scores(*[(np.zeros(0, np.int64),) * (len(BEGINNINGS) + 1)] * 2, -DRIFT)
+        none = Scores(*[(np.zeros(0, np.int64),) * len(_LEVELS)] * 2, -DRIFT)
         p = min(max(share, 1e-9), 1 - 1e-9)
         return Model(none, 1.0, 1.0, 0.0, float(np.log(p / (1 - p))))
 
-    counted = sample.mapInArrow(_count_terms, "level long, term long, parent long, fold long, label long")
-    y, m = (sum(F.col(f"{c}_{k}") for k in range(FOLDS)) for c in ("toxic", "docs"))
-    z = F.abs(y - m * F.lit(share)) / F.sqrt(m * F.lit(share * (1 - share)))
+    words = stored(_word_evidence(sample.mapInArrow(_count_contexts, ", ".join(f"{c} long" for c in _COUNTED))))
+    y, n = F.col(f"y_{FOLDS}"), F.col(f"n_{FOLDS}")
+    whole = words.agg(F.sum(y), F.sum(n)).first()
+    share = min(max((whole[0] or 0.0) / max(whole[1] or 0, 1), 1e-4), 1 - 1e-4)
+    levels = reduce(DataFrame.unionByName, [_level_evidence(words, depth) for depth in range(len(_LEVELS))])
     listed = (
-        counted.groupBy("level", "term")
-        .agg(F.min("parent").alias("parent"), *by_fold)
-        .where(m >= LEAST_DOCS)
-        .withColumn("z", z)
+        levels.where(n >= LEAST_CONTEXTS)
+        .withColumn("z", F.abs(y - n * share) / F.sqrt(n * share * (1 - share)))
         .where(F.col("z") >= LEAST_SCORE)
         .orderBy(F.desc("z"), "level", "term")
         .limit(MODEL_TERMS)
         .collect()
     )
-    terms = [r.asDict() for r in listed] + [{"level": -1, "term": 0, "parent": 0, **total}]
+    terms = [r.asDict() for r in listed]
 
-    folds = spark.sparkContext.broadcast([_scores(terms, k, DRIFT) for k in range(FOLDS)])
+    folds = spark.sparkContext.broadcast([_scores(terms, share, k, DRIFT) for k in range(FOLDS)])
     seen = sample.mapInArrow(_score_folds(folds), "label int, n long, scores array<double>").collect()
     ordinary = [r for r in seen if not r["label"]]
     best = np.array([max(r["scores"], default=0.0) for r in ordinary])
@@ -235,7 +263,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, rows: int = SAMPLE_ROWS) -> Model
     size = float(len(ordinary) / (lengths * np.exp(-rate * best)).sum())
     x = np.array([_evidence(r["scores"], r["n"], rate, size) for r in seen])
     slope, offset = _logistic(x, np.array([r["label"] for r in seen], dtype=float))
-    return Model(_scores(terms, None, DRIFT), rate, size, slope, offset)
+    return Model(_scores(terms, share, FOLDS, DRIFT), rate, size, slope, offset)
 
 
 _PASSAGE = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("expected", pa.float64())])
