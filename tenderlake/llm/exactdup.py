@@ -5,7 +5,8 @@ the SHA-256 of what is left. A snapshot is a set of distinct digests, dealt into
 for each bucket a binary-fuse filter is built once and never changed. A new batch is first grouped
 by digest, in which its own duplicates meet; each distinct digest is then screened by its bucket's
 filter. Most new digests end there. The positives join the snapshot's exact digests, and for equal
-digests the normalised texts themselves are compared.
+digests the normalised texts themselves are compared. To fetch these texts, a filter over the wanted
+rows is broadcast while it is small, so that few other texts are moved; beyond that the join alone does it.
 
 A digest occurs once in each of these tables, however many copies there are, since counts and the
 row that stays are combined before the shuffle. Buckets hold about ``BUCKET_KEYS`` digests; their
@@ -26,11 +27,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from tenderlake.llm.fuse import BinaryFuse
 from tenderlake.llm.storage import stored
 
 BUCKET_KEYS = 100_000
+SCREENED_KEYS = 1_000_000  # wanted rows up to which one filter over them (1.2 MB) is broadcast
 BLANKS = r"[\x20\x09-\x0D]+"
 
 
@@ -112,14 +115,31 @@ def positives(batch: DataFrame, known: Snapshot) -> DataFrame:
     )
 
 
+def _screened(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows that may be wanted, by a broadcast filter over (doc_id, text_key); all if too many are."""
+    if wanted.count() > SCREENED_KEYS:
+        return keyed
+    keys = wanted.select(F.lit(0).alias("bucket"), F.xxhash64("_id", "_key").alias("key"))
+    built = keys.groupBy("bucket").applyInPandas(_build_filter, _FILTER).collect()
+    if not built:
+        return keyed.where(F.lit(False))
+    f = built[0]
+    held = keyed.sparkSession.sparkContext.broadcast(BinaryFuse(f["seed"], f["length"], f["segments"], bytes(f["cells"])))
+
+    def maybe(keys: pd.Series) -> pd.Series:
+        return pd.Series(held.value.contains(keys.to_numpy().view(np.uint64)))
+
+    return keyed.where(F.pandas_udf(maybe, BooleanType())(F.xxhash64("doc_id", "text_key")))
+
+
 def _text_of(classes: DataFrame, docs: DataFrame, name: str) -> DataFrame:
     """The normalised text of each class's row that stays."""
     wanted = classes.select("digest", F.col("best.doc_id").alias("_id"), F.col("best.text_key").alias("_key"))
+    wanted = stored(wanted)
     keyed = docs.select(
-        "doc_id",
-        normalised("text").alias(name),
-        F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text_key"),
+        "doc_id", "text", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text_key")
     )
+    keyed = _screened(keyed, wanted).select("doc_id", "text_key", normalised("text").alias(name))
     found = wanted.join(keyed, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_key") == F.col("text_key")))
     return found.select("digest", name).dropDuplicates(["digest"])
 
