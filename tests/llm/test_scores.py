@@ -60,6 +60,18 @@ def test_toxicity(spark):
     assert {r.doc_id for r in kept.collect()} == {k for k, r in by_id.items() if not r.predicted}
 
 
+def test_copied_passages_are_evidence_once(spark):
+    """Twelve toxic texts share a long passage of rare words; a clean text that has it too stays clean."""
+    docs, labels, _ = corpus(spark)
+    passage = " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 3)}x{k}rare" for k in range(60))
+    copies = [(9000 + k, f"w{k} w{k + 1} {passage} scum w{k}", "s") for k in range(12)]
+    clean = [(9100 + k, f"w{k} {passage} w{k + 2}", "s") for k in range(3)]
+    more = spark.createDataFrame([(i, 1, 1, None) for i, _, _ in copies], LABELS)
+    found = toxicity.toxicity(docs.unionByName(documents(spark, copies + clean)), labels.unionByName(more)).collect()
+    by_id = {r.doc_id: r.predicted for r in found}
+    assert [by_id[i] for i, _, _ in copies] == [1] * 12 and [by_id[i] for i, _, _ in clean] == [0] * 3
+
+
 def test_quality(spark):
     docs, labels, known = corpus(spark)
     check(quality.quality(docs, labels).collect(), {k: good for k, good, _, _ in known}, 0.5)
