@@ -27,6 +27,42 @@ def test_licences(spark, odd_documents, no_documents):
     assert licenses.scan(no_documents).count() == 0
 
 
+def apart(text, *ends):
+    """The text with blank lines after the given words."""
+    for end in ends:
+        assert end in text
+        text = text.replace(end + " ", end + "\n\n")
+    return text
+
+
+def test_licences_inside_longer_documents(spark):
+    """Paragraphs apart by blank lines and notices inside a line, by a plain search over all runs of words."""
+    of = licenses.TEMPLATES
+    prose = " ".join(f"of the w{k} and in the x{k}" for k in range(60))
+    mit = apart(of["MIT"], "conditions:", "portions of the Software.")
+    apache = apart(of["Apache-2.0"], "with the License.", "LICENSE-2.0")
+    gpl = apart(of["GPL-3.0"], "any later version.", "PARTICULAR PURPOSE.")
+    bsd = apart(of["BSD-2-Clause"], "are met:", "disclaimer.")
+    terms = "This work is licensed under the terms of the GNU General Public License, version 3."
+    texts = [f"{prose}\n\n{t}\n\n{prose}" for t in (mit, apache, gpl, bsd, mit.replace("any person", "every man"))] + [
+        f"{prose}. This file is released under the MIT License. {prose}",
+        f"a b c d e f. Licensed under CC BY-NC 4.0. {prose}", f"{prose} {terms} {prose}", f"{prose}. Released under the MIT. {prose}",
+        f"{prose} {of['MIT'][:400]} {prose}", prose, f"{prose}\n\n{mit}\n\n{of['GPL-3.0-line']}", "the software " * 500,
+    ]
+    found = {r.doc_id: r for r in licenses.scan(documents(spark, [(k, t, "s") for k, t in enumerate(texts)])).collect()}
+    expected = ["MIT", "Apache-2.0", "GPL-3.0", "BSD-2-Clause", "MIT", "MIT-line", "CC-BY-NC-4.0-line", "GPL-3.0-line", "MIT-line", None, None]
+    assert [found[k].license for k in range(11)] == expected
+    assert all(found[k].n_passages == 0 for k in range(11))
+    assert {w.license for w in found[11].windows} == {"MIT", "GPL-3.0-line"} and found[12].license is None
+    for k in (0, 4, 5, 6, 7, 8):
+        w = re.findall("[a-z0-9]+", texts[k].lower())
+        template = of[expected[k]]
+        size = len(re.findall("[a-z0-9]+", template.lower()))
+        begins = range(len(w)) if size < 20 else range(400, 440)
+        runs = (" ".join(w[i:j]) for i in begins for j in range(i + size // 2, min(len(w), i + size * 3 // 2) + 1))
+        assert found[k].dice == pytest.approx(max(dice(run, template) for run in runs))
+
+
 MESSAGES = [
     (1, 0, "user", "Hello there my friend"),
     (1, 1, "assistant", "General greetings to you all\n\nSecond paragraph, longer"),
