@@ -3,11 +3,12 @@
 A rule names a host and a path beginning, fits that host and its subdomains, and the longest fitting
 rule decides. URLs without a rule are judged by boosted trees over the URL's length, depth, digit
 ratio, entropy, parameter counts and the like, and over how often URLs of the same suffix (last part
-of the host) were blocked among the labelled ones. Training is Spark's own, on a bounded sample.
+of the host) were blocked among all labelled ones. Training is Spark's own, on a bounded sample.
 
 Defined cases: a null URL or one without :// has an empty host and path, and still gets a verdict.
 Rules are a parameter of bounded length. With labels of one kind only that verdict is given to all;
-without labels everything is allowed. Repeated rows each get their row; other columns are not read.
+without labels everything is allowed. If only the sample is of one kind, all get the labelled URLs' rate
+of blocking as their score. Repeated rows each get their row; other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from tenderlake.llm.storage import stored
 SAMPLE_ROWS = 20_000  # labelled URLs to learn from
 TREES = 10
 DEPTH = 4
+BROADCAST_SUFFIXES = 100_000  # a larger table of suffixes is joined as Spark sees fit
 SMOOTHING = 10.0  # labelled URLs of average rate added to each suffix
 
 FEATURES = (
@@ -59,6 +61,10 @@ def _entropy(text: Column) -> Column:
     return F.coalesce(F.aggregate(bits, F.lit(0.0), lambda a, b: a + b), F.lit(0.0))
 
 
+def _suffix() -> Column:
+    return F.substring_index("host", ".", -1)
+
+
 def lexical(pages: DataFrame) -> DataFrame:
     """Features of a URL's text; needs ``url``, ``host`` and ``path``."""
     url = F.coalesce(F.col("url").cast("string"), F.lit(""))
@@ -76,7 +82,7 @@ def lexical(pages: DataFrame) -> DataFrame:
         F.size(F.filter(F.split(query, "&"), lambda p: p != "")).cast("double").alias("parameters"),
         F.length(query).cast("double").alias("query_chars"),
         F.regexp_count(F.col("host"), F.lit("-")).cast("double").alias("hyphens"),
-        F.substring_index("host", ".", -1).alias("suffix"),
+        _suffix().alias("suffix"),
     )
 
 
@@ -85,7 +91,8 @@ def verdicts(pages: DataFrame, rules: dict[str, str], labelled: DataFrame | None
     rule decides).
 
     ``labelled`` has url and blocked (boolean). Left out, the URLs that a rule decides are the labels.
-    At most ``rows`` of them are learnt from, by hash order; equal URLs count once.
+    At most ``rows`` of them are learnt from, by hash order; equal URLs count once. The suffixes are
+    counted over all of them.
     """
     url = F.col("url").cast("string").alias("url")
     known = pages.select("page_id", url).withColumn("host", host("url")).withColumn("path", path("url"))
@@ -94,28 +101,28 @@ def verdicts(pages: DataFrame, rules: dict[str, str], labelled: DataFrame | None
     by_rule = F.array_contains(blocks, F.col("rule"))
     if labelled is None:
         labelled = known.where("rule is not null").select("url", by_rule.alias("blocked"))
-    sample = (
+    distinct = stored(
         labelled.select(url, F.col("blocked").cast("boolean").alias("blocked"))
         .where("url is not null and blocked is not null")
         .groupBy("url")
-        .agg(F.max("blocked").alias("blocked"))
-        .orderBy(F.xxhash64("url"), "url")
-        .limit(rows)
+        .agg(F.max("blocked").cast("double").alias("label"))
         .withColumn("host", host("url"))
         .withColumn("path", path("url"))
-        .withColumn("label", F.col("blocked").cast("double"))
     )
-    sample = stored(lexical(sample))
-    kinds = sample.agg(F.avg("label"), F.count("*")).first()
-    rate, n = kinds[0] or 0.0, kinds[1]
+    sample = stored(lexical(distinct.orderBy(F.xxhash64("url"), "url").limit(rows)))
+    both = sample.agg(F.min("label") < F.max("label")).first()[0]
+    counted = stored(distinct.groupBy(_suffix().alias("suffix")).agg(F.sum("label").alias("blocked"), F.count("*").alias("urls")))
+    blocked, n, kinds = counted.agg(F.sum("blocked"), F.sum("urls"), F.count("*")).first()
+    rate = blocked / n if n else 0.0
     rest = lexical(known.where("rule is null"))
-    if 0 < rate < 1:
-        suffixes = sample.groupBy("suffix").agg(
-            ((F.sum("label") + SMOOTHING * rate) / (F.count("*") + SMOOTHING)).alias("suffix_rate"),
-            (F.count("*") / n).alias("suffix_share"),
+    if both:
+        suffixes = counted.select(
+            "suffix",
+            ((F.col("blocked") + SMOOTHING * rate) / (F.col("urls") + SMOOTHING)).alias("suffix_rate"),
+            (F.col("urls") / n).alias("suffix_share"),
         )
-        # At most one row for each row of the sample.
-        suffixes = F.broadcast(stored(suffixes))
+        if kinds <= BROADCAST_SUFFIXES:
+            suffixes = F.broadcast(suffixes)
         unseen = {"suffix_rate": rate, "suffix_share": 0.0}
         assembled = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
         trained = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=17, labelCol="label", featuresCol="features").fit(

@@ -172,3 +172,12 @@ def test_trees_learn_from_labelled_urls(spark):
     only = urls.verdicts(pages, {}, labelled.where("blocked")).collect()
     assert {r.verdict for r in only} == {"block"}
     assert {r.verdict for r in urls.verdicts(pages, {}, labelled.where("false")).collect()} == {"allow"}
+
+
+def test_suffixes_outside_the_sample_count(spark):
+    """Only the suffix tells blocked URLs, and most suffixes are not in the sample that the trees learn from."""
+    known = [(f"http://h.s{k:03d}/p{j:02d}", k % 2 == 0) for k in range(100) for j in range(20)]
+    labelled = spark.createDataFrame(known, "url string, blocked boolean")
+    pages = spark.createDataFrame([(k, f"http://h.s{k:03d}/p77") for k in range(100)], "page_id long, url string")
+    found = {r.page_id: r.verdict for r in urls.verdicts(pages, {}, labelled, rows=60).collect()}
+    assert found == {k: "allow" if k % 2 else "block" for k in range(100)}
