@@ -1,8 +1,8 @@
 """Text quality by votes of the nearest labelled documents in a latent space.
 
-A document's terms are runs of three character classes (lower and upper case, digits, blanks,
-marks, ...) and the shares of repeated words and lines. A singular value decomposition of the
-weighted term counts of a bounded labelled sample gives the latent space. The sample's vectors are
+A document's terms are its words, hashed to a fixed number of columns, runs of three character classes
+(lower and upper case, digits, blanks, marks, ...) and the shares of repeated words and lines. Words
+and runs are unit vectors of equal weight. A singular value decomposition of the weighted term counts of a bounded labelled sample gives the latent space. The sample's vectors are
 broadcast; every document's cosines with all of them are computed as blocked matrix products, and
 the nearest vote with weights by similarity.
 
@@ -50,8 +50,10 @@ def _class_table() -> np.ndarray:
 
 _CLASS = _class_table()
 _N = int(_CLASS.max()) + 1
+WORDS = 2048  # columns that words are hashed to
 RUNS = _N**3
-TERMS = RUNS + 3
+SHARES = RUNS + WORDS  # where the repetition shares begin
+TERMS = SHARES + 3
 
 
 def _again(hashes: np.ndarray) -> float:
@@ -59,25 +61,27 @@ def _again(hashes: np.ndarray) -> float:
 
 
 def terms(data: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Term numbers and values of a text: dampened counts of class runs, then repetition shares."""
+    """Term numbers and values of a text: dampened counts of class runs and words, then repetition shares."""
     if data is None or not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.float32)
     classes = _CLASS[data]
     padded = np.concatenate([[_CLASS[0x20]], classes, [_CLASS[0x20]]])
     runs = np.bincount((padded[:-2] * _N + padded[1:-1]) * _N + padded[2:], minlength=RUNS)
-    used = np.flatnonzero(runs)
+    hashed = W.words(data, W.ALPHANUMERIC)[2] % np.uint64(WORDS)
+    counts = np.concatenate([runs, np.bincount(hashed.astype(np.int64), minlength=WORDS)])
+    used = np.flatnonzero(counts)
     found = W.words(data, W.SPACED)[2]
     shares = [
         float((found[1:] == found[:-1]).mean()) if len(found) > 1 else 0.0,
         _again(found) ** 2,
         _again(W.words(data, _LINES)[2]),
     ]
-    return np.concatenate([used, np.arange(RUNS, TERMS)]), np.concatenate([np.log1p(runs[used]), shares]).astype(np.float32)
+    return np.concatenate([used, np.arange(SHARES, TERMS)]), np.concatenate([np.log1p(counts[used]), shares]).astype(np.float32)
 
 
 @dataclass(frozen=True)
 class Space:
-    weights: np.ndarray  # inverse document frequencies of the runs
+    weights: np.ndarray  # inverse document frequencies of the runs and words
     axes: np.ndarray  # terms x dimensions
     vectors: np.ndarray  # labelled documents x dimensions, unit length
     labels: np.ndarray
@@ -87,10 +91,10 @@ class Space:
         out = np.zeros((len(rows), TERMS), dtype=np.float32)
         for k, (used, values) in enumerate(rows):
             out[k, used] = values
-        runs = out[:, :RUNS]
-        runs *= self.weights
-        runs /= np.maximum(np.linalg.norm(runs, axis=1, keepdims=True), 1e-12)
-        out[:, RUNS:] *= REPETITION
+        out[:, :SHARES] *= self.weights
+        for part in (out[:, :RUNS], out[:, RUNS:SHARES]):
+            part /= np.maximum(np.linalg.norm(part, axis=1, keepdims=True), 1e-12)
+        out[:, SHARES:] *= REPETITION
         return out
 
     def project(self, rows) -> np.ndarray:
@@ -128,13 +132,15 @@ def fit(docs: DataFrame, labels: DataFrame, *, rows: int = SAMPLE_ROWS, dimensio
     reach the driver: at most ``rows`` times ``TERMS`` numbers."""
     sample = training_sample(docs, labels, "quality", rows).withColumn("key", F.xxhash64("text"))
     listed = stored(sample.mapInArrow(_list_terms, "label int, used array<short>, values array<float>"))
-    seen = sorted(listed.collect(), key=lambda r: (r["used"], r["values"], r["label"]))
-    found = [(np.array(r["used"], np.int64), np.array(r["values"], np.float32)) for r in seen]
-    good = np.array([r["label"] for r in seen], dtype=float)
+    table = listed.toArrow()
+    columns = [[row.values.to_numpy() for row in table[c]] for c in ("used", "values")]
+    seen = sorted(zip(*columns, table["label"].to_pylist()), key=lambda r: (r[0].tobytes(), r[1].tobytes(), r[2]))
+    found = [(used, values) for used, values, _ in seen]
+    good = np.array([label for *_, label in seen], dtype=float)
     empty = np.zeros((0, 0), np.float32)
     if not seen:
-        return Space(np.ones(RUNS, np.float32), empty, empty, good, 0.5)
-    counts = np.bincount(np.concatenate([used for used, _ in found]), minlength=TERMS)[:RUNS]
+        return Space(np.ones(SHARES, np.float32), empty, empty, good, 0.5)
+    counts = np.bincount(np.concatenate([used for used, _ in found]), minlength=TERMS)[:SHARES]
     weights = np.log((1 + len(found)) / (1 + counts)).astype(np.float32) + np.float32(0.1)
     space = Space(weights, empty, empty, good, float(good.mean()))
     matrix = space.matrix(found)

@@ -77,6 +77,21 @@ def test_quality(spark):
     check(quality.quality(docs, labels).collect(), {k: good for k, good, _, _ in known}, 0.5)
 
 
+def test_quality_sees_words(spark):
+    """Good and poor texts have words of the same lengths and the same marks; only the words differ."""
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    lengths = [3 + k % 6 for k in range(60)]
+    kinds = [[word(n) for n in lengths] for _ in range(2)]
+    rows, labels = [], []
+    for k in range(240):
+        chosen = [rng.randrange(60) for _ in range(50)]
+        rows.append((k, " ".join(kinds[k % 2][c] for c in chosen).capitalize() + ".", "s"))
+        labels.append((k, k % 2, 0, None))
+    found = quality.quality(documents(spark, rows), spark.createDataFrame(labels, LABELS)).collect()
+    check(found, {k: good for k, good, *_ in labels}, 0.5)
+
+
 def test_odd_documents_and_missing_labels(spark, odd_documents, no_documents):
     docs, labels, _ = corpus(spark)
     both = docs.unionByName(odd_documents.selectExpr("doc_id + 5000 as doc_id", *[f"`{c}`" for c in docs.columns[1:]]))
