@@ -8,15 +8,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenderlake.operators import filters, overview, rankings, search, views
+from tenderlake.operators import filters, overview, rankings, search, similar, views
 from tenderlake.operators import alignment as A
 from tenderlake.operators import concentration as C
 from tenderlake.operators.canonical import latest_per_key
+from tenderlake.operators.duplicates import duplicate_groups, merged_contracts
 from tenderlake.operators.outliers import price_outliers
 from tenderlake.operators.quantiles import exact_median
 from tenderlake.plans import ledger as L
-from tenderlake.schema import RECORD_FIELDS
-from tenderlake.session import run_folder
+from tenderlake.schema import DUPLICATE_KEYS, RECORD_FIELDS
+from tenderlake.session import run_folder, written
 from tenderlake.sources import dims
 from tenderlake.sources.bronze import ingest_folder, read_bronze
 from tenderlake.sources.feed import parse_fragments
@@ -180,6 +181,24 @@ def ingested_feed(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# Amounts of the ledger are hardly ever equal, so a third key stands beside the two fixed ones.
+_LEDGER_KEYS = (*DUPLICATE_KEYS, ("org_id", "adj_id", "fecha_adjudicacion"))
+
+
+def duplicados_exactos(contracts: DataFrame) -> DataFrame:
+    return duplicate_groups(contracts, _LEDGER_KEYS).select(
+        "source", "entry_id", "dup_group_id", "dup_rows", "id_canonico", "is_canonical"
+    )
+
+
+def duplicados_difusos(contracts: DataFrame) -> DataFrame:
+    return similar.similar_groups(contracts).select("source", "entry_id", "clase", "n_enlaces", "grupo_difuso")
+
+
+def pares_difusos(contracts: DataFrame) -> DataFrame:
+    return similar.similar_pairs(written(similar.subject_classes(contracts)))
+
+
 def _on_contracts(f: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf: f(L.contracts(spark, sf))
 
@@ -225,6 +244,11 @@ def queries() -> dict[str, Query]:
         "politica": _shares,
         "politica_did": _eras,
         "territorio_percapita": _per_capita,
+        # Duplicates beyond the single key
+        "duplicados_exactos": _on_contracts(duplicados_exactos),
+        "contratos_fusionados": _on_contracts(lambda c: merged_contracts(duplicate_groups(c, _LEDGER_KEYS))),
+        "duplicados_difusos": _on_contracts(duplicados_difusos),
+        "pares_difusos": _on_contracts(pares_difusos),
         # Dimensions
         "dim_alineacion": _alignment,
         "dim_poblacion": _population,

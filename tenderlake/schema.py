@@ -116,6 +116,15 @@ def feed_source(name: str) -> FeedSource:
     return SOURCES[name]
 
 
+# Which feed counts more where feeds overlap; feeds not named count least.
+SOURCE_PRIORITY: dict[str, int] = {"perfil_contratante": 4, "agregaciones": 3, "contratos_menores": 2, "encargos": 1}
+
+# Columns that identify a contract, either of them.
+DUPLICATE_KEYS: tuple[tuple[str, ...], ...] = (
+    ("id_origen", "org_id"),
+    ("cpv", "org_id", "adj_id", "fecha_adjudicacion", "importe"),
+)
+
 # NUTS-2 code -> autonomous community.
 REGION_BY_NUTS2: dict[str, str] = {
     "ES11": "Galicia",

@@ -7,6 +7,7 @@ import os
 import re
 import shutil
 import tempfile
+import uuid
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -73,3 +74,14 @@ def settle(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once into a Parquet table below the shared folder and read it back.
+
+    Other than a checkpoint this keeps Spark's size estimates, so that small tables are broadcast;
+    and a stored aggregate lets a join on its key be split where a key is hot.
+    """
+    path = run_folder(df.sparkSession, f"written-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
