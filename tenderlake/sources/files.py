@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterable
+from functools import reduce
+from urllib.parse import quote
 
+import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,13 +66,39 @@ def _encoding(head: Column) -> Column:
     return F.coalesce(marked, F.try_element_at(known, declared), F.lit("UTF-8"))
 
 
-def describe_files(spark: SparkSession, listed: DataFrame) -> DataFrame:
-    """(file_path, source_file_hash, entry_tag, encoding) of the files of one round.
+# An entry's opening tag, under any prefix.
+_OPENING = r"<((?:[\w.-]+:)?entry)(?=[\s/>])"
+# Files above this size are not read as one row.
+LARGE_FILE = 256 << 20
+_PIECE = 1 << 20
 
-    Each file is read as one row (up to 2 GB); those that cannot be read are left out. The entry tag
-    has the prefix of the file's first entry, in whatever namespace; it is NULL in a file without entries.
+
+def describe_files(spark: SparkSession, listed: DataFrame, large: int = LARGE_FILE) -> DataFrame:
+    """(file_path, source_file_hash, entry_tags, encoding) of the files of one round.
+
+    ``entry_tags`` are the distinct tags of a file's entries, each with its prefix, whatever the
+    namespace; none in a file without entries. Files that cannot be read are left out. Files up to
+    ``large`` bytes are read as one row; larger ones are hashed in pieces, and their tags found in
+    a text read that Spark splits over tasks.
     """
-    paths = [r.file_path for r in listed.select("file_path").collect()]  # at most a round's files
+    files = listed.select("file_path", "length").collect()  # at most a round's files
+    parts = [
+        _describe_small(spark, [f.file_path for f in files if f.length <= large]),
+        _describe_large(spark, [f.file_path for f in files if f.length > large]),
+    ]
+    found = [p for p in parts if p is not None]
+    if not found:
+        return spark.createDataFrame([], "file_path string, source_file_hash string, entry_tags array<string>, encoding string")
+    return reduce(DataFrame.unionByName, found)
+
+
+def _readable(text: Column, encoding: Column) -> Column:
+    return F.when(F.startswith(encoding, F.lit("UTF-16")), F.translate(text, "\0", "")).otherwise(text)
+
+
+def _describe_small(spark: SparkSession, paths: list[str]) -> DataFrame | None:
+    if not paths:
+        return None
     files = (
         spark.read.format("binaryFile")
         .options(ignoreCorruptFiles="true", ignoreMissingFiles="true")
@@ -78,10 +109,55 @@ def describe_files(spark: SparkSession, listed: DataFrame) -> DataFrame:
             _encoding(F.substring("content", 1, _HEAD_BYTES)).alias("encoding"),
         )
     )
-    text = F.decode("content", "ISO-8859-1")
-    text = F.when(F.startswith(F.col("encoding"), F.lit("UTF-16")), F.translate(text, "\0", "")).otherwise(text)
-    tag = F.nullif(F.regexp_extract(text, r"<((?:[\w.-]+:)?entry)[\s/>]", 1), F.lit(""))
-    return files.select("file_path", F.sha2("content", 256).alias("source_file_hash"), tag.alias("entry_tag"), "encoding")
+    text = _readable(F.decode("content", "ISO-8859-1"), F.col("encoding"))
+    tags = F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(_OPENING), F.lit(1))))
+    return files.select("file_path", F.sha2("content", 256).alias("source_file_hash"), tags.alias("entry_tags"), "encoding")
+
+
+def _hashed(batches):
+    """SHA-256 and first bytes of files, read in pieces; no row for those that cannot be read."""
+    for batch in batches:
+        out = []
+        for path in batch.column("file_path").to_pylist():
+            try:
+                with open_file(path) as file:
+                    digest, head = hashlib.sha256(), file.read(_HEAD_BYTES)
+                    digest.update(head)
+                    while piece := file.read(_PIECE):
+                        digest.update(piece)
+            except (OSError, pa.ArrowException):
+                continue
+            out.append((path, digest.hexdigest(), head))
+        names = ["file_path", "source_file_hash", "head"]
+        columns = list(zip(*out)) or [[], [], []]
+        types = [pa.string(), pa.string(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types)], names=names)
+
+
+def open_file(path: str) -> pa.NativeFile:
+    """A file for reading in pieces, in the file systems that pyarrow knows."""
+    if path.startswith(("file:", "/")):
+        return pafs.LocalFileSystem().open_input_stream("/" + path.removeprefix("file:").lstrip("/"))
+    scheme, _, rest = path.partition("://")
+    system, name = pafs.FileSystem.from_uri(f"{scheme}://{quote(rest)}")
+    return system.open_input_stream(name)
+
+
+def _describe_large(spark: SparkSession, paths: list[str]) -> DataFrame | None:
+    if not paths:
+        return None
+    listed = spark.createDataFrame([(p,) for p in paths], "file_path string").repartition(len(paths))
+    hashed = listed.mapInArrow(_hashed, "file_path string, source_file_hash string, head binary")
+    hashed = hashed.select("file_path", "source_file_hash", _encoding(F.col("head")).alias("encoding"))
+    # Each piece ends before a ">", so it holds at most the end of one tag; bytes are left as they are.
+    pieces = spark.read.options(lineSep=">", ignoreMissingFiles="true", ignoreCorruptFiles="true").text(literal_paths(paths))
+    text = F.translate(F.decode(F.col("value").cast("binary"), "ISO-8859-1"), "\0", "")
+    tag = F.nullif(F.regexp_extract(F.concat(text, F.lit(">")), _OPENING, 1), F.lit(""))
+    tags = pieces.select(plain_path(F.col("_metadata.file_path")).alias("file_path"), tag.alias("tag")).where("tag is not null")
+    tags = tags.distinct().groupBy("file_path").agg(F.array_sort(F.collect_list("tag")).alias("entry_tags"))
+    return hashed.join(tags, "file_path", "left").select(
+        "file_path", "source_file_hash", F.coalesce("entry_tags", F.array().cast("array<string>")).alias("entry_tags"), "encoding"
+    )
 
 
 def _below(path: Column, root: str) -> Column:

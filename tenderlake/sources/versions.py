@@ -58,6 +58,11 @@ def publish(spark: SparkSession, table: str, version: str) -> None:
         files.delete(jvm_path(path, name), True)
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    files, folder = _folder(spark, path)
+    files.delete(folder, True)
+
+
 def read_or_empty(spark: SparkSession, path: str | None, schema) -> DataFrame:
     """Parquet table with a fixed schema; absent columns are NULL, an absent table is empty."""
     if path is None:

@@ -1,6 +1,12 @@
 from __future__ import annotations
 
+import hashlib
+
 import feeds as X
+import pytest
+from pyspark.errors import StreamingQueryException
+from pyspark.sql import functions as F
+
 from tenderlake.schema import BRONZE_SCHEMA
 from tenderlake.sources import bronze, files
 from tenderlake.streaming.ingest import stream_feed
@@ -61,8 +67,6 @@ def test_several_rounds(spark, tmp_path):
 def test_trace_columns(spark, tmp_path):
     path = X.write(tmp_path / "in/t.atom", X.entry("1", X.folder("A")))
     run(spark, tmp_path)
-    import hashlib
-
     table = bronze.read_bronze(spark, f"{tmp_path}/bronze")
     assert table.schema == BRONZE_SCHEMA
     row = table.first()
@@ -72,15 +76,13 @@ def test_trace_columns(spark, tmp_path):
 
 
 def test_unusual_file_names(spark, tmp_path):
-    import hashlib
-
     paths = [X.write(tmp_path / f"in/grande ñ {i} [1].atom", X.entry(str(i), X.folder(f"G{i}"))) for i in range(3)]
     listed = files.list_files(spark, f"{tmp_path}/in")
     found = {r.file_path: r for r in files.describe_files(spark, listed).collect()}
     assert {p.removeprefix("file:"): r.source_file_hash for p, r in found.items()} == {
         str(p): hashlib.sha256(p.read_bytes()).hexdigest() for p in paths
     }
-    assert {(r.entry_tag, r.encoding) for r in found.values()} == {("entry", "UTF-8")}
+    assert {(tuple(r.entry_tags), r.encoding) for r in found.values()} == {(("entry",), "UTF-8")}
     assert run(spark, tmp_path).entries_written == 3
 
 
@@ -144,3 +146,179 @@ def test_streamed_ingest(spark, tmp_path):
     stream()
     stream()
     assert keys(spark, tmp_path) == ["A", "B"]
+
+
+# ---- runs that break
+
+
+class Broken(Exception):
+    pass
+
+
+def failing(monkeypatch, step):
+    """Let the run break right before, in the middle of, or right after one of its writes."""
+    log, append, bad = bronze._write_log, bronze.append_bronze, bronze._write_quarantine
+
+    def half(df, *rest):
+        append(df.where(F.pmod(F.xxhash64("entry_id"), F.lit(2)) == 0), *rest)
+        raise Broken
+
+    def before(*_):
+        raise Broken
+
+    def after(write):
+        def run(*args):
+            write(*args)
+            raise Broken
+
+        return run
+
+    def final(rows, *rest):
+        if rows.where("outcome = 'open'").count() == 0:
+            raise Broken
+        log(rows, *rest)
+
+    changes = {
+        "before intent": ("_write_log", before), "after intent": ("append_bronze", before),
+        "within Bronze": ("append_bronze", half), "after Bronze": ("append_bronze", after(append)),
+        "before quarantine": ("_write_quarantine", before), "after quarantine": ("_write_quarantine", after(bad)),
+        "before outcome": ("_write_log", final),
+    }
+    monkeypatch.setattr(bronze, *changes[step])
+
+
+STEPS = ("before intent", "after intent", "after Bronze", "after quarantine")  # the others break in the tests below
+
+
+def feeds(root):
+    X.write(root / "in/old.atom", *[X.entry(f"o{k}", X.folder(f"O{k}")) for k in range(3)])
+    return lambda: [
+        X.write(root / "in/a.atom", *[X.entry(f"a{k}", X.folder(f"A{k}")) for k in range(6)]),
+        X.write(root / "in/copy of a.atom", *[X.entry(f"a{k}", X.folder(f"A{k}")) for k in range(6)]),
+        X.write(root / "in/b.atom", *[X.entry(f"b{k}", X.folder(f"B{k}")) for k in range(4)],
+                X.entry("bad", X.folder("D").replace("</a:Party>", ""))),
+        X.write(root / "in/none.atom"),
+    ]
+
+
+WANTED = sorted([f"O{k}" for k in range(3)] + [f"A{k}" for k in range(6)] + [f"B{k}" for k in range(4)])
+
+
+def settled(spark, root):
+    """Bronze, quarantine and log of the new files, as a run that never broke leaves them."""
+    assert keys(spark, root) == WANTED
+    assert [r.source_file for r in spark.read.parquet(f"{root}/bad").collect()] == ["b.atom"]
+    final = [r for r in bronze._logged(spark, f"{root}/log", SOURCE).collect() if r.outcome == "written"]
+    assert sorted((r.file_path.rsplit("/")[-1], r.entries, r.malformed) for r in final) == [
+        ("a.atom", 6, 0), ("b.atom", 4, 1), ("old.atom", 3, 0)
+    ]
+
+
+@pytest.mark.parametrize("step", STEPS)
+def test_broken_run(spark, tmp_path, monkeypatch, step):
+    more = feeds(tmp_path)
+    run(spark, tmp_path)
+    more()
+    with monkeypatch.context() as m:
+        failing(m, step)
+        with pytest.raises(Broken):
+            run(spark, tmp_path)
+    run(spark, tmp_path)
+    settled(spark, tmp_path)
+    again = run(spark, tmp_path)
+    assert again.files == {"passed over": 5} and again.entries_written == 0
+    settled(spark, tmp_path)
+
+
+def test_run_that_breaks_again_and_again(spark, tmp_path, monkeypatch):
+    more = feeds(tmp_path)
+    run(spark, tmp_path)
+    more()
+    for step in ("within Bronze", "before quarantine"):
+        with monkeypatch.context() as m:
+            failing(m, step)
+            with pytest.raises(Broken):
+                run(spark, tmp_path)
+    run(spark, tmp_path)
+    settled(spark, tmp_path)
+
+
+def test_broken_replacement(spark, tmp_path, monkeypatch):
+    """A run with overwrite that breaks before it drops the earlier rows."""
+    more = feeds(tmp_path)
+    more()
+    run(spark, tmp_path)
+    stamps = {r.ingested_at for r in bronze.read_bronze(spark, f"{tmp_path}/bronze").collect()}
+    with monkeypatch.context() as m:
+        m.setattr(bronze, "keep_last_ingest", lambda *_: (_ for _ in ()).throw(Broken))
+        with pytest.raises(Broken):
+            run(spark, tmp_path, overwrite=True)
+    assert len(keys(spark, tmp_path)) == 2 * len(WANTED)
+    run(spark, tmp_path)
+    assert keys(spark, tmp_path) == WANTED
+    assert not stamps & {r.ingested_at for r in bronze.read_bronze(spark, f"{tmp_path}/bronze").collect()}
+    with monkeypatch.context() as m:
+        failing(m, "within Bronze")
+        with pytest.raises(Broken):
+            run(spark, tmp_path, overwrite=True)
+    run(spark, tmp_path)
+    assert keys(spark, tmp_path) == WANTED
+
+
+def test_broken_stream(spark, tmp_path, monkeypatch):
+    def stream():
+        stream_feed(
+            spark, f"{tmp_path}/in", SOURCE, f"{tmp_path}/bronze", f"{tmp_path}/log", f"{tmp_path}/bad", f"{tmp_path}/chk"
+        ).awaitTermination()
+
+    more = feeds(tmp_path)
+    stream()
+    more()
+    with monkeypatch.context() as m:
+        failing(m, "before outcome")
+        with pytest.raises(StreamingQueryException):
+            stream()
+    stream()
+    settled(spark, tmp_path)
+
+
+def test_log_that_lost_a_round(spark, tmp_path):
+    """What Bronze holds is known even if the log has other files only."""
+    feeds(tmp_path)()
+    run(spark, tmp_path)
+    log = spark.read.parquet(f"{tmp_path}/log").where("file_path like '%none%'").collect()
+    kept = spark.createDataFrame(log, spark.read.parquet(f"{tmp_path}/log").schema)
+    kept.write.partitionBy("source").parquet(f"{tmp_path}/log2")
+    report = bronze.ingest_folder(spark, f"{tmp_path}/in", SOURCE, f"{tmp_path}/bronze", f"{tmp_path}/log2", f"{tmp_path}/bad")
+    assert report.entries_written == 0 and keys(spark, tmp_path) == WANTED
+
+
+# ---- files of several tags, and large ones
+
+
+def mixed(root, name):
+    plain = [X.entry(f"p{k}", X.folder(f"P{k}")) for k in range(3)]
+    other = [e.replace("<entry>", "<at0:entry>").replace("</entry>", "</at0:entry>")
+             for e in (X.entry(f"q{k}", X.folder(f"Q{k}")) for k in range(4))]
+    return X.write(root / f"in/{name}", other[0], plain[0], other[1], other[2], plain[1], plain[2], "<entry/>", other[3])
+
+
+@pytest.mark.parametrize("large", [files.LARGE_FILE, 100])
+def test_mixed_tags_and_large_files(spark, tmp_path, monkeypatch, large):
+    monkeypatch.setattr(files.describe_files, "__defaults__", (large,))
+    monkeypatch.setattr(files, "_PIECE", 50)
+    path = mixed(tmp_path, "mixed [1] ñ.atom")
+    X.write(tmp_path / "in/none.atom")
+    text = X.HEAD + X.entry("l", X.folder("Ñ")).replace("<entry>", "<e:entry >") .replace("</entry>", "</e:entry>") + X.TAIL
+    (tmp_path / "in/wide.atom").write_bytes(text.replace("UTF-8", "UTF-16").encode("utf-16"))
+    (tmp_path / "in/latin.atom").write_bytes(
+        (X.HEAD + X.entry("m", X.folder("Ü")) + X.TAIL).replace("UTF-8", "iso-8859-1").encode("iso-8859-1")
+    )
+    report = run(spark, tmp_path)
+    assert report.files == {"written": 3, "empty": 1} and report.entries_quarantined == 0
+    rows = bronze.read_bronze(spark, f"{tmp_path}/bronze").collect()
+    assert sorted(r.id_origen for r in rows if r.id_origen) == sorted(["P0", "P1", "P2", "Q0", "Q1", "Q2", "Q3", "Ñ", "Ü"])
+    assert len(rows) == 10  # with the empty entry
+    assert {r.source_file_hash for r in rows if r.source_file.startswith("mixed")} == {
+        hashlib.sha256(path.read_bytes()).hexdigest()
+    }
