@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenderlake.operators import filters, overview, rankings, search, similar, views
+from tenderlake.functions import mapping
+from tenderlake.operators import coverage, filters, overview, rankings, search, similar, views
 from tenderlake.operators import alignment as A
 from tenderlake.operators import concentration as C
 from tenderlake.operators.canonical import latest_per_key
@@ -199,6 +200,65 @@ def pares_difusos(contracts: DataFrame) -> DataFrame:
     return similar.similar_pairs(written(similar.subject_classes(contracts)))
 
 
+# Two periods of one feed that overlap in 2020, where the first wins; amounts and dates came as text then.
+_TERRITORY = {"from": "territorio_code", "transform": "nuts_to_ine"}
+MAPPINGS = [
+    {
+        "source": "contratos_menores",
+        "periods": [
+            {"from": 2016, "to": 2020, "fields": {
+                "objeto": {"from": "title"}, "organo_id": {"from": "organo_nif", "transform": "nif"},
+                "adjudicatario_id": {"from": "nif_texto", "transform": "nif_seudonimizar"},
+                "importe_adjudicacion": {"from": "importe_texto", "transform": "amount"},
+                "fecha_adjudicacion": {"from": "fecha_texto", "transform": "date_iso"}, "ccaa_id": _TERRITORY,
+            }},
+            {"from": 2020, "fields": {
+                "objeto": {"from": "objeto"}, "organo_id": {"from": "organo_id", "transform": "nif"},
+                "adjudicatario_id": {"from": "adjudicatario_id", "transform": "nif_seudonimizar"},
+                "importe_adjudicacion": {"from": "importe_adjudicado", "transform": "amount"},
+                "fecha_adjudicacion": {"from": "fecha_adjudicacion", "transform": "date_iso"}, "ccaa_id": _TERRITORY,
+            }},
+        ],
+    },
+    {
+        "source": "perfil_contratante",
+        "periods": [{"from": 2012, "fields": {
+            "objeto": {"from": "objeto"}, "organo_id": {"from": "organo_nif", "transform": "nif"}, "ccaa_id": _TERRITORY,
+        }}],
+    },
+]
+_MAPPED_FROM = {"contratos_menores": 2016, "perfil_contratante": 2012}
+
+
+def mapeo_canonico(spark: SparkSession, sf: str) -> DataFrame:
+    """The ledger's records in the canonical model. Suppliers of records without CPV stand as natural persons."""
+    cents = F.round(F.col("importe_adjudicado") * 100).cast("bigint")
+    euros = F.regexp_replace((F.floor(cents / 100)).cast("string"), r"\B(?=(\d{3})+$)", ".")
+    date = F.split("fecha_adjudicacion", "-")
+    person = F.concat(F.substring("adjudicatario_nif", 2, 8), F.lit("-z"))
+    rows = L.ledger(spark, sf).withColumns({
+        "importe_texto": F.concat(euros, F.lit(","), F.lpad((cents % 100).cast("string"), 2, "0"), F.lit(" €")),
+        "fecha_texto": F.concat_ws("/", date[2], date[1], date[0]),
+        "nif_texto": F.when(F.col("cpv").isNull(), person).otherwise(F.col("adjudicatario_nif")),
+    })
+    rules = [r for m in MAPPINGS for r in mapping.rules_of(m)]
+    return mapping.mapped(rows, rules, "sal", _MAPPED_FROM).drop("attributes")
+
+
+def cobertura_filas(spark: SparkSession, sf: str) -> DataFrame:
+    return coverage.with_coverage(L.ledger(spark, sf)).select(
+        "source", "entry_id", "cobertura_bits", "n_campos", "coverage_flags"
+    )
+
+
+def cobertura_anual(spark: SparkSession, sf: str) -> DataFrame:
+    """Yearly coverage kept batch by batch; the first batch is counted twice, as after a broken run."""
+    rows, table = L.ledger(spark, sf), _run_folder(spark, "coverage")
+    for batch in (0, 1, 2, 0):
+        coverage.add_batch(rows.where(F.pmod(F.xxhash64("entry_id"), F.lit(3)) == batch), table, str(batch))
+    return coverage.yearly_coverage(coverage.read_counts(spark, table))
+
+
 def _on_contracts(f: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf: f(L.contracts(spark, sf))
 
@@ -249,6 +309,10 @@ def queries() -> dict[str, Query]:
         "contratos_fusionados": _on_contracts(lambda c: merged_contracts(duplicate_groups(c, _LEDGER_KEYS))),
         "duplicados_difusos": _on_contracts(duplicados_difusos),
         "pares_difusos": _on_contracts(pares_difusos),
+        # Canonical model and coverage
+        "mapeo_canonico": mapeo_canonico,
+        "cobertura_filas": cobertura_filas,
+        "cobertura_anual": cobertura_anual,
         # Dimensions
         "dim_alineacion": _alignment,
         "dim_poblacion": _population,

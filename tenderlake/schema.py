@@ -116,6 +116,13 @@ def feed_source(name: str) -> FeedSource:
     return SOURCES[name]
 
 
+# NUTS-2 code -> number of the autonomous community in the national statistics.
+INE_OF_NUTS2: dict[str, str] = {
+    "ES61": "01", "ES24": "02", "ES12": "03", "ES53": "04", "ES70": "05", "ES13": "06", "ES41": "07", "ES42": "08",
+    "ES51": "09", "ES52": "10", "ES43": "11", "ES11": "12", "ES30": "13", "ES62": "14", "ES22": "15", "ES21": "16",
+    "ES23": "17", "ES63": "18", "ES64": "19",
+}
+
 # Which feed counts more where feeds overlap; feeds not named count least.
 SOURCE_PRIORITY: dict[str, int] = {"perfil_contratante": 4, "agregaciones": 3, "contratos_menores": 2, "encargos": 1}
 
