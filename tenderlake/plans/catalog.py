@@ -17,6 +17,7 @@ from tenderlake.operators.duplicates import duplicate_groups, merged_contracts
 from tenderlake.operators.outliers import price_outliers
 from tenderlake.operators.quantiles import exact_median
 from tenderlake.plans import ledger as L
+from tenderlake.plans import roundtrips
 from tenderlake.schema import DUPLICATE_KEYS, RECORD_FIELDS
 from tenderlake.session import run_folder, written
 from tenderlake.sources import dims
@@ -375,4 +376,6 @@ def queries() -> dict[str, Query]:
         "file_manifest_rows": L.manifest,
         "feed_records": feed_records,
         "ingested_feed": ingested_feed,
+        # Readers and writers
+        **roundtrips.QUERIES,
     }

@@ -179,10 +179,10 @@ def manifest_rows(files: DataFrame, source: str, data_root: str) -> DataFrame:
     )
 
 
-def file_manifest(spark: SparkSession, data_root: str) -> DataFrame:
+def file_manifest(spark: SparkSession, data_root: str, pattern: str = "*.atom") -> DataFrame:
     """One row per feed file of every known source."""
     manifest = spark.createDataFrame([], MANIFEST_SCHEMA)
     for source in SOURCES.values():
-        files = list_files(spark, f"{data_root.rstrip('/')}/{source.subpath}")
+        files = list_files(spark, f"{data_root.rstrip('/')}/{source.subpath}", pattern)
         manifest = manifest.unionByName(manifest_rows(files, source.name, data_root))
     return manifest
