@@ -1,19 +1,22 @@
 """Source divergence audit: how far the words of each source are from those of others of its language.
 
-Terms are runs of ASCII letters (A-Z lower-cased) and of any character beyond ASCII. A language keeps
-the terms that occur in at least ``LEAST_DOCUMENTS`` of its documents: a Spark ML ``CountVectorizer``
-for each language, with that minDF and the largest integer as vocabSize, turns each document into
-an exact sparse vector. The vectors' entries are summed for each source and term, combined before
-the shuffle as a Summarizer does, but sparse: a Summarizer's buffers are as wide as the vocabulary.
-
-A fitted CountVectorizer passes its vocabulary through the driver and broadcasts it, so it is used
-while there are at most ``VOCABULARY`` kept terms in ``LANGUAGES`` languages, counted in Spark
-before. Beyond that the same counts come from exploded terms joined to a stored vocabulary. This
-switches the plan only; results are equal and nothing is left out on either side.
+Terms are runs of ASCII letters (A-Z lower-cased) and of any character beyond ASCII; texts are cut
+into them once, with numpy on whole Arrow buffers, and stored by language. A language keeps the terms
+that occur in at least ``LEAST_DOCUMENTS`` of its documents: a Spark ML ``CountVectorizer`` for each
+language with that minDF turns each document into an exact sparse vector. The vectors' entries are
+summed for each source and term, combined before the shuffle as a Summarizer does, but sparse: a
+Summarizer's buffers are as wide as the vocabulary.
+
+A fitted CountVectorizer passes its vocabulary through the driver and broadcasts it. So it is used
+in up to ``LANGUAGES`` languages with ``VOCABULARY`` kept terms in all: its vocabSize is the largest
+integer, but for this bound plus one, so that no fit brings more than that to the driver; if a
+vocabulary comes back full, it is not used. Then the same counts come from exploded terms joined to
+a stored vocabulary. This switches the plan only; results are equal and nothing is left out on
+either side.
 
 A probability is ``1 + floor(SCALE * (count + 1) / (N + V))``; a divergence is the sum over terms of
-``floor((p - q)^2 / q)``. Sources of a language are numbered and cut into blocks of ``SOURCES``,
-terms by hash into blocks of about ``TERMS``; one task takes two blocks of sources over one block of
+``floor((p - q)^2 / q)``. Terms are numbered in their order and dealt by hash into blocks of about
+``TERMS``, sources of a language are numbered and cut into blocks of ``SOURCES``. One task takes two blocks of sources over one block of
 terms, as two small matrices, and gives one partial sum for each ordered pair. Terms that none of
 its sources has cost nothing: they are all alike and added as a number. No task sees a whole
 language, and a source or term that is everywhere is one row or one column of such a matrix. The
@@ -26,15 +29,18 @@ are not read. Exact up to 9e15 words in a source.
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import CountVectorizer
+import pyarrow as pa
+from pyspark.errors import IllegalArgumentException
+from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tenderlake.llm.ordered import indexed
 from tenderlake.llm.storage import stored
 
 SCALE = 1_000_000_000
@@ -44,14 +50,40 @@ LANGUAGES = 16  # one pass over the documents for each
 SOURCES = 256
 TERMS = 2048
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+# Bytes as they count: A-Z lower-cased, whatever separates terms a blank. Bytes beyond ASCII stay.
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[: 0x41] = _FOLD[0x5B : 0x61] = _FOLD[0x7B : 0x80] = 32
+_FOLD[0x41 : 0x5B] += 32
 
-_ENTRY = "lang string, block int, low int, high int, term string, no int, n long, total long"
 _PARTIAL = "lang string, no int, other int, value long, seen long"
 
 
-def terms(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(text, _UPPER, _LOWER), F.lit(TERM), F.lit(0))
+def _cut(texts: pa.Array) -> pa.ListArray:
+    """The terms of each text, by byte: all terms of a batch are one buffer without what lies between."""
+    texts = texts.cast(pa.large_string())
+    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = texts.buffers()[2]
+    data = np.frombuffer(memoryview(data)[offsets[0] : offsets[-1]] if data is not None else b"", dtype=np.uint8)
+    offsets = offsets - offsets[0]
+    data = _FOLD[data]
+    inside = data != 32
+    edge = np.zeros(len(data) + 1, dtype=bool)
+    edge[offsets] = True
+    before = np.concatenate([[False], inside[:-1]]) if len(data) else inside
+    starts = np.flatnonzero(inside & (~before | edge[:-1]))
+    after = np.concatenate([inside[1:], [False]]) if len(data) else inside
+    ends = np.flatnonzero(inside & (~after | edge[1:])) + 1
+    limits = np.concatenate([[0], np.cumsum(ends - starts)])
+    words = pa.Array.from_buffers(
+        pa.large_string(), len(starts), [None, pa.py_buffer(limits.astype(np.int64)), pa.py_buffer(data[inside])]
+    )
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(starts, offsets), type=pa.int32()), words.cast(pa.string()))
+
+
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        columns = [batch.column("lang"), batch.column("source"), _cut(batch.column("text"))]
+        yield pa.RecordBatch.from_arrays(columns, names=["lang", "source", "terms"])
 
 
 def share(count: np.ndarray, total: np.ndarray) -> np.ndarray:
@@ -73,38 +105,80 @@ def _share(count: Column, total: Column) -> Column:
     return out + 1
 
 
-def _kept(docs: DataFrame, least: int) -> DataFrame:
-    """lang, term of the terms in enough documents of a language."""
-    in_docs = docs.select("lang", F.explode(F.array_distinct("terms")).alias("term"))
-    return in_docs.groupBy("lang", "term").agg(F.count("*").alias("n")).where(F.col("n") >= least).drop("n")
+def _vocabulary(own: DataFrame, least: int, bound: int) -> CountVectorizerModel | None:
+    """Fitted to one language's documents; None if no term is kept."""
+    size = min(2**31 - 1, bound + 1)
+    try:
+        return CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(least), vocabSize=size).fit(own)
+    except IllegalArgumentException as problem:
+        if "vocabulary size should be > 0" not in str(problem):
+            raise
+        return None
+
+
+def _by_vectors(docs: DataFrame, langs: list[str], least: int) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+    """Counts, names of terms and sizes from count vectors; None beyond the bound for vocabularies."""
+    spark, left = docs.sparkSession, VOCABULARY
+    parts, names, sizes = [], [], []
+    for number, lang in enumerate(langs):
+        own = docs.where(F.col("lang_no") == number)
+        model = _vocabulary(own, least, left)
+        if model is None:
+            continue
+        words = model.vocabulary
+        left -= len(words)
+        if left < 0:
+            return None
+        order = np.array(sorted(range(len(words)), key=lambda k: words[k].encode()), dtype=np.int32)
+        numbered = np.arange(len(words), dtype=np.int32)
+        # At most VOCABULARY pairs of numbers.
+        places = spark.createDataFrame(pa.table({"i": order, "term": numbered}))
+        vector = F.unwrap_udt("vector")
+        zipped = F.arrays_zip(vector["indices"].alias("i"), vector["values"].alias("n"))
+        entries = model.transform(own).select("source", F.explode(zipped).alias("e"))
+        sums = entries.groupBy("source", F.col("e.i").alias("i")).agg(F.sum("e.n").cast("long").alias("n"))
+        parts.append(sums.join(F.broadcast(places), "i").select(F.lit(lang).alias("lang"), "source", "term", "n"))
+        named = spark.createDataFrame(pa.table({"term": numbered, "name": [words[k] for k in order]}))
+        names.append(stored(named.select(F.lit(lang).alias("lang"), "term", "name")))
+        sizes.append((lang, len(words)))
+        del words
+    none = spark.createDataFrame([], "lang string, source string, term int, n long")
+    unnamed = spark.createDataFrame([], "lang string, term int, name string")
+    return (
+        stored(reduce(DataFrame.unionByName, parts, none)),
+        reduce(DataFrame.unionByName, names, unnamed),
+        spark.createDataFrame(sizes, "lang string, terms long"),
+    )
 
 
-def _vectorised(docs: DataFrame, lang: str, least: int) -> DataFrame:
-    """lang, source, term, n from the sparse count vectors of one language's documents."""
-    own = docs.where(F.col("lang") == lang)
-    model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(least), vocabSize=2**31 - 1).fit(own)
-    vector = F.unwrap_udt("vector")
-    entries = model.transform(own).select(
-        "lang", "source", F.explode(F.arrays_zip(vector["indices"].alias("i"), vector["values"].alias("n"))).alias("e")
+def _by_join(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The same from exploded terms and a stored vocabulary."""
+    in_docs = docs.select("lang", F.explode(F.array_distinct("terms")).alias("name"))
+    kept = in_docs.groupBy("lang", "name").agg(F.count("*").alias("n")).where(F.col("n") >= least).drop("n")
+    placed = stored(indexed(kept, ["lang", "name"]))
+    sizes = stored(placed.groupBy("lang").agg(F.count("*").alias("terms"), F.min("row_index").alias("first")))
+    names = stored(
+        placed.join(sizes, "lang").select("lang", (F.col("row_index") - F.col("first")).cast("int").alias("term"), "name")
     )
-    sums = entries.groupBy("lang", "source", F.col("e.i").alias("i")).agg(F.sum("e.n").cast("long").alias("n"))
-    vocabulary = own.sparkSession.createDataFrame(list(enumerate(model.vocabulary)), "i int, term string")
-    return sums.join(vocabulary, "i").select("lang", "source", "term", "n")
-
-
-def source_counts(docs: DataFrame, least: int = LEAST_DOCUMENTS) -> tuple[DataFrame, DataFrame]:
-    """How often each source has each kept term of its language (lang, source, term, n), and how
-    many terms each language keeps (lang, terms)."""
-    kept = stored(_kept(docs, least))
-    sizes = stored(kept.groupBy("lang").agg(F.count("*").alias("terms")))
-    few = sizes.orderBy(F.desc("terms")).limit(LANGUAGES + 1).collect()
-    if len(few) <= LANGUAGES and sum(r["terms"] for r in few) <= VOCABULARY:
-        parts = [_vectorised(docs, r["lang"], least) for r in few]
-        counts = reduce(DataFrame.unionByName, parts) if parts else kept.selectExpr("lang", "'' source", "term", "0L n")
-    else:
-        words = docs.select("lang", "source", F.explode("terms").alias("term"))
-        counts = words.groupBy("lang", "source", "term").agg(F.count("*").alias("n")).join(kept, ["lang", "term"])
-    return stored(counts.select("lang", "source", "term", "n")), sizes
+    words = docs.select("lang", "source", F.explode("terms").alias("name"))
+    counts = words.groupBy("lang", "source", "name").agg(F.count("*").alias("n")).join(names, ["lang", "name"])
+    return stored(counts.select("lang", "source", "term", "n")), names, sizes.drop("first")
+
+
+def source_counts(
+    docs: DataFrame, least: int = LEAST_DOCUMENTS
+) -> tuple[bool, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Of documents (lang, source, text): whether count vectors could be used, how often each source has each kept term of its language
+    (lang, source, term, n), the names of terms (lang, term, name), how many there are (lang,
+    terms), and the occurring groups (lang, source)."""
+    langs = [r["lang"] for r in docs.select("lang").distinct().limit(LANGUAGES + 1).collect()]
+    few = len(langs) <= LANGUAGES
+    number = F.coalesce(*[F.when(F.col("lang") == x, F.lit(n)) for n, x in enumerate(langs)]) if few and langs else F.lit(0)
+    cut = docs.mapInArrow(_terms, "lang string, source string, terms array<string>").withColumn("lang_no", number)
+    cut = stored(cut, "lang_no" if few else None)
+    found = _by_vectors(cut, langs, least) if few else None
+    counts, names, sizes = found or _by_join(cut, least)
+    return bool(found), counts, names, sizes, cut.groupBy("lang", "source").agg(F.count("*").alias("docs")).drop("docs")
 
 
 def _pair_sums(key: tuple, entries: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
@@ -113,7 +187,7 @@ def _pair_sums(key: tuple, entries: pd.DataFrame, members: pd.DataFrame) -> pd.D
     members = members.sort_values("no")
     numbers, totals = members["no"].to_numpy(), members["total"].to_numpy(dtype=np.int64)
     at = np.searchsorted(numbers, entries["no"].to_numpy())
-    column, names = pd.factorize(entries["term"])
+    names, column = np.unique(entries["term"].to_numpy(), return_inverse=True)
     counts = np.zeros((len(numbers), len(names)), dtype=np.int64)
     counts[at, column] = entries["n"].to_numpy(dtype=np.int64)
     p = share(counts + 1, totals[:, None])
@@ -132,7 +206,7 @@ def _divergence(p: Column, q: Column) -> Column:
     return F.call_function("div", (p - q) * (p - q), q)
 
 
-def _pairs(groups: DataFrame, counts: DataFrame, sizes: DataFrame) -> DataFrame:
+def _pairs(groups: DataFrame, counts: DataFrame) -> DataFrame:
     """lang, source, item, value of every ordered pair of a language's sources."""
     block = F.expr(f"no div {SOURCES}").cast("int")
     last = F.expr(f"(sources - 1) div {SOURCES}").cast("int")
@@ -141,6 +215,7 @@ def _pairs(groups: DataFrame, counts: DataFrame, sizes: DataFrame) -> DataFrame:
     # A pair of source blocks is met from both sides, or once by its own two sides.
     meeting = [F.least("mine", "partner").alias("low"), F.greatest("mine", "partner").alias("high")]
     each = groups.withColumn("mine", block).withColumn("partner", partners)
+    # Dealt by hash, since neighbouring terms can all be frequent ones.
     number = F.pmod(F.xxhash64("term"), F.expr(f"terms div {TERMS} + 1")).cast("int").alias("block")
     entries = counts.join(groups.drop("total"), ["lang", "source"])
     entries = entries.withColumn("mine", block).withColumn("partner", partners)
@@ -163,14 +238,14 @@ def _pairs(groups: DataFrame, counts: DataFrame, sizes: DataFrame) -> DataFrame:
     )
 
 
-def _over_terms(groups: DataFrame, counts: DataFrame) -> DataFrame:
-    """lang, source, item, value of terms that a source has more often than its language."""
+def _over_terms(groups: DataFrame, counts: DataFrame, bounded: bool) -> DataFrame:
+    """lang, source, term, value of terms that a source has more often than its language."""
     own = stored(counts.groupBy("lang", "term").agg(F.sum("n").alias("all")))
-    whole = groups.groupBy("lang").agg((F.sum(F.col("total") - F.col("terms")) + F.max("terms")).alias("whole"))
-    joined = counts.join(own, ["lang", "term"]).join(stored(whole), "lang").join(groups, ["lang", "source"])
+    # With count vectors there are at most VOCABULARY terms.
+    joined = counts.join(F.broadcast(own) if bounded else own, ["lang", "term"]).join(groups, ["lang", "source"])
     p, q = _share(F.col("n") + 1, F.col("total")), _share(F.col("all") + 1, F.col("whole"))
-    shares = joined.select("lang", "source", F.col("term").alias("item"), p.alias("p"), q.alias("q")).where("p > q")
-    return shares.select("lang", "source", "item", _divergence(F.col("p"), F.col("q")).alias("value"))
+    shares = joined.select("lang", "source", "term", p.alias("p"), q.alias("q")).where("p > q")
+    return shares.select("lang", "source", "term", _divergence(F.col("p"), F.col("q")).alias("value"))
 
 
 def source_divergence(
@@ -182,22 +257,28 @@ def source_divergence(
     def filled(name: str, alias: str) -> Column:
         return F.coalesce(F.col(name).cast("string"), F.lit("")).alias(alias)
 
-    docs = docs.select(filled(lang, "lang"), filled(source, "source"), terms(filled(text, "text")).alias("terms"))
-    counts, sizes = source_counts(docs, least_documents)
+    docs = docs.select(filled(lang, "lang"), filled(source, "source"), filled(text, "text"))
+    bounded, counts, names, sizes, occurring = source_counts(docs, least_documents)
     sums = counts.groupBy("lang", "source").agg(F.sum("n").alias("words"))
-    by_source = Window.partitionBy("lang").orderBy("source")
-    occurring = docs.groupBy("lang", "source").agg(F.count("*").alias("docs")).drop("docs")
+    of_lang = Window.partitionBy("lang")
     groups = (
         occurring.join(sums, ["lang", "source"], "left").join(sizes, "lang", "left").na.fill(0, ["words", "terms"])
         # Of a language without terms no probability is used; one keeps the divisions defined.
         .withColumn("total", F.greatest(F.col("words") + F.col("terms"), F.lit(1)))
-        .withColumn("no", (F.row_number().over(by_source) - 1).cast("int"))
-        .withColumn("sources", F.count("*").over(Window.partitionBy("lang")))
+        .withColumn("whole", F.greatest(F.sum("words").over(of_lang) + F.col("terms"), F.lit(1)))
+        .withColumn("no", (F.row_number().over(of_lang.orderBy("source")) - 1).cast("int"))
+        .withColumn("sources", F.count("*").over(of_lang))
     )
     groups = stored(groups.drop("words"))
     best = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
-    rank = F.row_number().over(best).cast("int").alias("rank")
-    columns = ["lang", "source", "part", "item", "value", rank]
-    pairs = _pairs(groups, counts, sizes).withColumn("part", F.lit("pair")).select(*columns)
-    over = _over_terms(groups.drop("no", "sources"), counts).withColumn("part", F.lit("term")).select(*columns)
-    return pairs.unionByName(over.where(F.col("rank") <= top_terms))
+    pairs = _pairs(groups.drop("whole"), counts).withColumn("rank", F.row_number().over(best).cast("int"))
+    # Terms are numbered in the order of their names.
+    first = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "term")
+    over = _over_terms(groups.select("lang", "source", "total", "whole"), counts, bounded)
+    over = over.withColumn("rank", F.row_number().over(first).cast("int")).where(F.col("rank") <= top_terms)
+    over = over.join(names, ["lang", "term"]).withColumnRenamed("name", "item")
+    columns = ["lang", "source", "part", "item", "value", "rank"]
+    return (
+        pairs.withColumn("part", F.lit("pair")).select(*columns)
+        .unionByName(over.withColumn("part", F.lit("term")).select(*columns))
+    )

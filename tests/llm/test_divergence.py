@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tenderlake.llm import divergence as D
@@ -100,3 +101,11 @@ def test_large_counts():
         total = g.randrange(1, 9 * 10**15)
         count = g.randrange(0, total + 1)
         assert D.share(np.array([count]), np.array([total]))[0] == 1 + 1_000_000_000 * count // total
+
+
+def test_terms_of_a_batch():
+    texts = ["", "a", "b!", "Ünd ER", " x", "y", "\u0000", "é1é", "", "𝒳Z z"] * 3
+    want = [re.findall(D.TERM, t.translate(_FOLD)) for t in texts]
+    assert D._cut(pa.array(texts)).to_pylist() == want
+    assert D._cut(pa.array(texts).slice(3, 9)).to_pylist() == want[3:12]
+    assert D._cut(pa.array([], type=pa.string())).to_pylist() == []
