@@ -25,6 +25,7 @@ from tenderlake.sources.bronze import ingest_folder, read_bronze
 from tenderlake.sources.feed import parse_fragments
 from tenderlake.sources.tables import silver_columns
 from tenderlake.streaming.canonical import stream_latest
+from tenderlake.streaming.deltas import read_latest, stream_additions
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -83,6 +84,21 @@ def streamed_latest_events(spark: SparkSession, sf: str) -> DataFrame:
     return _events(spark.read.parquet(f"{run}/table"))
 
 
+def latest_events_by_additions(spark: SparkSession, sf: str) -> DataFrame:
+    """``latest_events`` by additions: three slices arrive, the second overlaps the others, and the
+    table is compacted on the way."""
+    run = _run_folder(spark, "additions")
+    events = _events(L.read_table(spark, sf, "events"))
+    third = F.pmod(F.xxhash64("event_id"), F.lit(3))
+    arrivals = spark.readStream.schema(events.schema).parquet(f"{run}/in")
+    for slices in ([2], [2, 1, 0], [0]):
+        events.where(third.isin(slices)).write.mode("append").parquet(f"{run}/in")
+        stream_additions(
+            arrivals, f"{run}/table", f"{run}/checkpoint", _EVENT_KEY, _event_order(), compact_after=2
+        ).awaitTermination()
+    return _events(read_latest(spark, f"{run}/table", events.schema, _EVENT_KEY, _event_order()))
+
+
 def _found(silver: DataFrame, wanted: dict, limit: int) -> DataFrame:
     return search.find_contracts(silver, wanted, limit).select(*_FOUND)
 
@@ -289,6 +305,7 @@ def queries() -> dict[str, Query]:
         "canonical_contracts_keeping_unkeyed": canonical_contracts_keeping_unkeyed,
         "latest_events": latest_events,
         "streamed_latest_events": streamed_latest_events,
+        "latest_events_by_additions": latest_events_by_additions,
         # The published marts
         "resumen": _on_contracts(overview.source_summary),
         "resumen_periodos": _on_contracts(overview.period_summary),

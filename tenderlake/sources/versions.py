@@ -58,6 +58,18 @@ def publish(spark: SparkSession, table: str, version: str) -> None:
         files.delete(jvm_path(path, name), True)
 
 
+def names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what a folder holds; none if it is not there."""
+    files, folder = _folder(spark, path)
+    return [s.getPath().getName() for s in files.listStatus(folder)] if files.exists(folder) else []
+
+
+def create_file(spark: SparkSession, path: str) -> None:
+    """An empty file, as a marker; one that is there already stays."""
+    files, file = _folder(spark, path)
+    files.createNewFile(file)
+
+
 def remove_folder(spark: SparkSession, path: str) -> None:
     files, folder = _folder(spark, path)
     files.delete(folder, True)
