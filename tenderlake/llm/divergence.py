@@ -29,6 +29,7 @@ are not read. Exact up to 9e15 words in a source.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -42,6 +43,7 @@ from pyspark.sql import functions as F
 
 from tenderlake.llm.ordered import indexed
 from tenderlake.llm.storage import stored
+from tenderlake.session import shared_folder
 
 SCALE = 1_000_000_000
 LEAST_DOCUMENTS = 3
@@ -125,27 +127,28 @@ def _by_vectors(docs: DataFrame, langs: list[str], least: int) -> tuple[DataFram
         model = _vocabulary(own, least, left)
         if model is None:
             continue
-        words = model.vocabulary
-        left -= len(words)
+        # Read from the saved model, so that the names do not pass through the driver's Python.
+        path = f"{shared_folder(spark).rstrip('/')}/vocabulary-{uuid.uuid4().hex}"
+        model.write().save(path)
+        vocabulary = spark.read.parquet(f"{path}/data").select(F.posexplode("vocabulary").alias("i", "name"))
+        named = stored(indexed(vocabulary, ["name"]).withColumn("term", F.col("row_index").cast("int")))
+        size = named.count()
+        left -= size
         if left < 0:
             return None
-        order = np.array(sorted(range(len(words)), key=lambda k: words[k].encode()), dtype=np.int32)
-        numbered = np.arange(len(words), dtype=np.int32)
-        # At most VOCABULARY pairs of numbers.
-        places = spark.createDataFrame(pa.table({"i": order, "term": numbered}))
+        places = named.select("i", "term")  # at most VOCABULARY pairs of numbers
         vector = F.unwrap_udt("vector")
         zipped = F.arrays_zip(vector["indices"].alias("i"), vector["values"].alias("n"))
         entries = model.transform(own).select("source", F.explode(zipped).alias("e"))
         sums = entries.groupBy("source", F.col("e.i").alias("i")).agg(F.sum("e.n").cast("long").alias("n"))
-        parts.append(sums.join(F.broadcast(places), "i").select(F.lit(lang).alias("lang"), "source", "term", "n"))
-        named = spark.createDataFrame(pa.table({"term": numbered, "name": [words[k] for k in order]}))
-        names.append(stored(named.select(F.lit(lang).alias("lang"), "term", "name")))
-        sizes.append((lang, len(words)))
-        del words
+        # Stored language by language, so that the driver holds one vocabulary at a time.
+        parts.append(stored(sums.join(F.broadcast(places), "i").select(F.lit(lang).alias("lang"), "source", "term", "n")))
+        names.append(named.select(F.lit(lang).alias("lang"), "term", "name"))
+        sizes.append((lang, size))
     none = spark.createDataFrame([], "lang string, source string, term int, n long")
     unnamed = spark.createDataFrame([], "lang string, term int, name string")
     return (
-        stored(reduce(DataFrame.unionByName, parts, none)),
+        reduce(DataFrame.unionByName, parts, none),
         reduce(DataFrame.unionByName, names, unnamed),
         spark.createDataFrame(sizes, "lang string, terms long"),
     )
