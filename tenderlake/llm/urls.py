@@ -2,8 +2,14 @@
 
 A rule names a host and a path beginning, fits that host and its subdomains, and the longest fitting
 rule decides. URLs without a rule are judged by boosted trees over the URL's length, depth, digit
-ratio, entropy, parameter counts and the like, and over how often URLs of the same suffix (last part
-of the host) were blocked among all labelled ones. Training is Spark's own, on a bounded sample.
+ratio, entropy, parameter counts and the like, and over how often hosts of the same suffix (last part
+of the host) were blocked among all labelled URLs. Training is Spark's own, on a bounded sample.
+
+A suffix is counted by hosts: each adds the share of its labelled URLs that are blocked, beside
+``SMOOTHING`` hosts of average rate. So one host, or a rule about one, hardly speaks for its suffix. For the
+URLs that are learnt from, a suffix is counted without the URLs of their own of ``FOLDS`` folds (by hash).
+Otherwise a URL's own label would stand in its rate, and the trees would trust rates that unseen
+suffixes do not have.
 
 Defined cases: a null URL or one without :// has an empty host and path, and still gets a verdict.
 Rules are a parameter of bounded length. With labels of one kind only that verdict is given to all;
@@ -25,7 +31,10 @@ SAMPLE_ROWS = 20_000  # labelled URLs to learn from
 TREES = 10
 DEPTH = 4
 BROADCAST_SUFFIXES = 100_000  # a larger table of suffixes is joined as Spark sees fit
-SMOOTHING = 10.0  # labelled URLs of average rate added to each suffix
+SMOOTHING = 10.0  # hosts of average rate added to each suffix
+FOLDS = 5
+_WHOLE = -1  # stands for no fold left out
+_UNIT = 1_000_000_000  # shares are summed as whole numbers, the same in any order
 
 FEATURES = (
     "url_chars", "host_chars", "path_chars", "depth", "host_parts", "digit_ratio", "entropy", "parameters",
@@ -86,6 +95,32 @@ def lexical(pages: DataFrame) -> DataFrame:
     )
 
 
+def fold(url: str) -> Column:
+    return F.pmod(F.xxhash64(url, F.lit(FOLDS)), F.lit(FOLDS)).cast("int")
+
+
+def suffix_counts(labelled: DataFrame) -> DataFrame:
+    """suffix, fold, shares, hosts, urls: the labelled URLs (url, host, label) counted without those of a
+    fold, and once without leaving out any (fold -1). One aggregation by host, then one by suffix."""
+    own = fold("url")
+    each = [
+        part
+        for k in range(FOLDS)
+        for part in (F.sum(F.when(own == k, F.col("label")).otherwise(0.0)).alias(f"b{k}"), F.count_if(own == k).alias(f"n{k}"))
+    ]
+    hosts = labelled.groupBy(_suffix().alias("suffix"), "host").agg(F.sum("label").alias("b"), F.count("*").alias("n"), *each)
+    without = [F.struct(F.lit(_WHOLE).alias("fold"), F.col("b").alias("blocked"), F.col("n").alias("urls"))]
+    without += [
+        F.struct(F.lit(k).alias("fold"), (F.col("b") - F.col(f"b{k}")).alias("blocked"), (F.col("n") - F.col(f"n{k}")).alias("urls"))
+        for k in range(FOLDS)
+    ]
+    rest = hosts.select("suffix", F.inline(F.array(*without))).where("urls > 0")
+    share = F.round(F.col("blocked") / F.col("urls") * _UNIT).cast("long")
+    return rest.groupBy("suffix", "fold").agg(
+        F.sum(share).alias("shares"), F.count("*").alias("hosts"), F.sum("urls").alias("urls")
+    )
+
+
 def verdicts(pages: DataFrame, rules: dict[str, str], labelled: DataFrame | None = None, *, rows: int = SAMPLE_ROWS):
     """One row for each page: page_id, host, path, rule, verdict and score (of blocking, null where a
     rule decides).
@@ -111,24 +146,29 @@ def verdicts(pages: DataFrame, rules: dict[str, str], labelled: DataFrame | None
     )
     sample = stored(lexical(distinct.orderBy(F.xxhash64("url"), "url").limit(rows)))
     both = sample.agg(F.min("label") < F.max("label")).first()[0]
-    counted = stored(distinct.groupBy(_suffix().alias("suffix")).agg(F.sum("label").alias("blocked"), F.count("*").alias("urls")))
-    blocked, n, kinds = counted.agg(F.sum("blocked"), F.sum("urls"), F.count("*")).first()
+    blocked, n = distinct.agg(F.sum("label"), F.count("*")).first()
     rate = blocked / n if n else 0.0
     rest = lexical(known.where("rule is null"))
     if both:
+        counted = stored(suffix_counts(distinct))
+        whole = F.create_map(*[F.lit(x) for r in counted.groupBy("fold").agg(F.sum("urls")).collect() for x in r])
         suffixes = counted.select(
-            "suffix",
-            ((F.col("blocked") + SMOOTHING * rate) / (F.col("urls") + SMOOTHING)).alias("suffix_rate"),
-            (F.col("urls") / n).alias("suffix_share"),
-        )
-        if kinds <= BROADCAST_SUFFIXES:
+            "suffix", "fold",
+            ((F.col("shares") / _UNIT + SMOOTHING * rate) / (F.col("hosts") + SMOOTHING)).alias("suffix_rate"),
+            (F.col("urls") / F.try_element_at(whole, F.col("fold"))).alias("suffix_share"),
+        )
+        if counted.count() <= BROADCAST_SUFFIXES:
             suffixes = F.broadcast(suffixes)
-        unseen = {"suffix_rate": rate, "suffix_share": 0.0}
         assembled = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
+
+        def features(urls: DataFrame, left_out: Column) -> DataFrame:
+            joined = urls.withColumn("fold", left_out).join(suffixes, ["suffix", "fold"], "left")
+            return assembled.transform(joined.fillna({"suffix_rate": rate, "suffix_share": 0.0}))
+
         trained = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=17, labelCol="label", featuresCol="features").fit(
-            assembled.transform(sample.join(suffixes, "suffix", "left").fillna(unseen)).select("features", "label")
+            features(sample, fold("url")).select("features", "label")
         )
-        scored = trained.transform(assembled.transform(rest.join(suffixes, "suffix", "left").fillna(unseen)))
+        scored = trained.transform(features(rest, F.lit(_WHOLE)))
         score = vector_to_array("probability")[1]
     else:
         scored, score = rest, F.lit(float(rate))

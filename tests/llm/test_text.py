@@ -174,6 +174,37 @@ def test_trees_learn_from_labelled_urls(spark):
     assert {r.verdict for r in urls.verdicts(pages, {}, labelled.where("false")).collect()} == {"allow"}
 
 
+def test_unseen_suffixes_are_judged_by_looks(spark):
+    """Every labelled URL has a suffix of its own; looks tell nine of ten."""
+    bad = lambda k: f"http://x{k}-win-{k}-now.shop.s{k}/a{k}/b{k}?p={k}&q={k}&r={k}"
+    good = lambda k: f"http://library.example.s{k}/page/reading"
+    look = [(k, k % 2 == 0) for k in range(800)]
+    known = [((bad if (looks == (k % 10 != 0)) else good)(k), looks) for k, looks in look]
+    labelled = spark.createDataFrame(known, "url string, blocked boolean")
+    new = [(k, (bad if k < 40 else good)(5000 + k)) for k in range(80)]
+    found = {r.page_id: r for r in urls.verdicts(spark.createDataFrame(new, "page_id long, url string"), {}, labelled).collect()}
+    assert [found[k].verdict for k in range(80)] == ["block"] * 40 + ["allow"] * 40
+
+
+def test_suffix_counts_leave_out_a_fold(spark):
+    known = [(f"http://h{k % 7}.s{k % 3}/p{k}", float(k % 5 < 2 or k % 7 == 1)) for k in range(200)] + [("http://one.alone/", 1.0)]
+    df = spark.createDataFrame(known, "url string, label double").withColumn("host", urls.host("url")).withColumn("f", urls.fold("url"))
+    rows = df.collect()
+    want = {}
+    for left_out in range(-1, urls.FOLDS):
+        hosts = {}
+        for r in rows:
+            if r.f != left_out:
+                hosts.setdefault(r.host, []).append(r.label)
+        for host, labels in hosts.items():
+            shares, n, many = want.get((host.rsplit(".")[-1], left_out), (0, 0, 0))
+            share = round(sum(labels) / len(labels) * urls._UNIT)
+            want[host.rsplit(".")[-1], left_out] = shares + share, n + 1, many + len(labels)
+    got = {(r.suffix, r.fold): (r.shares, r.hosts, r.urls) for r in urls.suffix_counts(df).collect()}
+    assert got == want and ("alone", -1) in got
+    assert len([k for k in got if k[0] == "alone"]) == urls.FOLDS  # its own fold knows nothing of it
+
+
 def test_suffixes_outside_the_sample_count(spark):
     """Only the suffix tells blocked URLs, and most suffixes are not in the sample that the trees learn from."""
     known = [(f"http://h.s{k:03d}/p{j:02d}", k % 2 == 0) for k in range(100) for j in range(20)]
