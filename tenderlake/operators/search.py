@@ -12,7 +12,7 @@ from tenderlake.functions.contract import in_analysis_years
 from tenderlake.functions.money import exact_sum, money
 from tenderlake.operators.filters import contract_filter
 from tenderlake.operators.grouping import named_totals
-from tenderlake.session import settle
+from tenderlake.session import settle, written
 
 INDEX_COLUMNS = (
     "id_origen", "source", "source_file", "fichero", "estado", "year", "organo_nombre", "organo_nif",
@@ -26,20 +26,29 @@ def search_index(silver: DataFrame, manifest: DataFrame) -> DataFrame:
     """Silver without the contract text, plus the path of the feed file.
 
     The file in the folder of the contract's year is preferred, any file of that name comes next.
-    The manifest is reduced to one row per (source, file name) with a path for each year folder, so
-    Silver takes part in one join and a repeated file name adds no rows.
+    The manifest is reduced to one row per (source, file name, year folder) and stored, as it is
+    joined by year and by name; both keys are unique, so a repeated file name adds no rows, and a name
+    that every folder has is many small rows instead of one large one.
     """
-    per_year = manifest.groupBy("source", F.col("basename").alias("source_file"), "year_folder").agg(
-        F.min("relpath").alias("path")
+    per_year = written(
+        manifest.groupBy("source", F.col("basename").alias("source_file"), F.col("year_folder").alias("year")).agg(
+            F.min("relpath").alias("_same_year")
+        )
     )
-    with_year = F.when(F.col("year_folder").isNotNull(), F.struct("year_folder", "path"))
-    per_name = per_year.groupBy("source", "source_file").agg(
-        F.map_from_entries(F.collect_list(with_year)).alias("in_year"), F.min("path").alias("anywhere")
+    per_name = written(per_year.groupBy("source", "source_file").agg(F.min("_same_year").alias("_anywhere")))
+    found = silver.join(per_year.where("year is not null"), ["source", "source_file", "year"], "left")
+    found = found.join(per_name, ["source", "source_file"], "left")
+    return found.withColumn("fichero", F.coalesce("_same_year", "_anywhere")).select(*INDEX_COLUMNS)
+
+
+def candidate_files(found: DataFrame, manifest: DataFrame) -> DataFrame:
+    """The feed files that a contract may be in, one row each: the columns of ``found`` and relpath,
+    year_folder, del_anio (whether the folder is that of the contract's year)."""
+    files = manifest.select("source", F.col("basename").alias("source_file"), "relpath", "year_folder")
+    same_year = F.coalesce(F.col("year_folder") == F.col("year"), F.lit(False))
+    return found.join(files, ["source", "source_file"]).select(
+        *found.columns, "relpath", "year_folder", same_year.alias("del_anio")
     )
-    found = silver.join(per_name, ["source", "source_file"], "left")
-    return found.withColumn(
-        "fichero", F.coalesce(F.try_element_at("in_year", F.col("year")), F.col("anywhere"))
-    ).select(*INDEX_COLUMNS)
 
 
 def attach_files(found: DataFrame, manifest: DataFrame) -> DataFrame:

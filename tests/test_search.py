@@ -96,3 +96,32 @@ def test_inspect_and_stats(silver):
     assert [r.importe for r in blocks["top_adjudicatarios"].collect()] == [30.0, 10.0]
     assert [r.year for r in blocks["por_anio"].collect()] == [2020, 2021]
     assert tuple(search.search_summary(silver, {"year": 1990}).first()) == (0, 0.0, 0, 0)
+
+
+def test_a_file_name_in_very_many_folders(spark):
+    silver_schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in SILVER_SCHEMA.fields)
+    place = {f.name: k for k, f in enumerate(SILVER_SCHEMA.fields)}
+
+    def contract(name, year):
+        row = [None] * len(place)
+        for c, v in (("source", "encargos"), ("source_file", name), ("year", year), ("id_origen", f"{name}{year}")):
+            row[place[c]] = v
+        return tuple(row)
+
+    rows = [contract("feed.atom", y) for y in (5, 9_999, 20_000, None)] + [contract("other.atom", 1), contract(None, 1)]
+    silver = spark.createDataFrame(rows, silver_schema)
+    folders = spark.range(10_000).select(
+        F.lit("encargos").alias("source"), F.lit("feed.atom").alias("basename"), F.col("id").alias("year_folder"),
+        F.format_string("e/%05d/feed.atom", "id").alias("relpath"), F.lit(1.0).alias("size_mb"),
+    )
+    unnumbered = folders.limit(1).withColumn("year_folder", F.lit(None).cast("bigint")).withColumn("relpath", F.lit("e/z/feed.atom"))
+    manifest = folders.unionByName(unnumbered)
+    got = {r.id_origen: r.fichero for r in search.search_index(silver, manifest).collect()}
+    assert got["feed.atom5"] == "e/00005/feed.atom" and got["feed.atom9999"] == "e/09999/feed.atom"
+    assert got["feed.atom20000"] == got["feed.atomNone"] == "e/00000/feed.atom"
+    assert got["other.atom1"] is None and len(got) == 6
+    found = silver.where("year = 5").select("source", "source_file", "year", "id_origen")
+    each = search.candidate_files(found, manifest)
+    assert each.count() == 10_001 and [r.relpath for r in each.where("del_anio").collect()] == ["e/00005/feed.atom"]
+    [listed] = search.attach_files(found, manifest).collect()
+    assert listed.fichero == "e/00005/feed.atom" and len(listed.ficheros_candidatos) == 10_001
