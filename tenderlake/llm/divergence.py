@@ -36,6 +36,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import IllegalArgumentException
 from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
 from pyspark.sql import Column, DataFrame, Window
@@ -51,6 +52,7 @@ VOCABULARY = 1 << 20  # kept terms up to which CountVectorizer may hold them
 LANGUAGES = 16  # one pass over the documents for each
 SOURCES = 256
 TERMS = 2048
+PIECE = 2 << 20  # bytes of text cut at a time
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 # Bytes as they count: A-Z lower-cased, whatever separates terms a blank. Bytes beyond ASCII stay.
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -83,9 +85,15 @@ def _cut(texts: pa.Array) -> pa.ListArray:
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In pieces of a few megabytes of text, as the work takes several times their size."""
     for batch in batches:
-        columns = [batch.column("lang"), batch.column("source"), _cut(batch.column("text"))]
-        yield pa.RecordBatch.from_arrays(columns, names=["lang", "source", "terms"])
+        sizes = pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False)
+        piece = np.cumsum(sizes) // PIECE
+        edges = np.flatnonzero(piece[1:] != piece[:-1]) + 1
+        for start, end in zip([0, *edges], [*edges, batch.num_rows]):
+            part = batch.slice(start, end - start)
+            columns = [part.column("lang"), part.column("source"), _cut(part.column("text"))]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "source", "terms"])
 
 
 def share(count: np.ndarray, total: np.ndarray) -> np.ndarray:
