@@ -29,6 +29,7 @@ are not read. Exact up to 9e15 words in a source.
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 from functools import reduce
@@ -162,6 +163,10 @@ def _by_vectors(
         parts.append(stored(sums.join(F.broadcast(places), "i").select(F.lit(lang).alias("lang"), "source", "term", "n")))
         names.append(named.select(F.lit(lang).alias("lang"), "term", "name"))
         sizes.append((lang, size))
+        # A model's broadcast ends with the model itself, so let it go before the next one is fitted.
+        del model
+        gc.collect()
+        spark._jvm.System.gc()
     none = spark.createDataFrame([], "lang string, source string, term int, n long")
     unnamed = spark.createDataFrame([], "lang string, term int, name string")
     return (
