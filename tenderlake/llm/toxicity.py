@@ -25,7 +25,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tenderlake.llm import words as W
@@ -184,7 +184,7 @@ def _segments(scores: Scores, data):
 
 
 def _score_folds(models):
-    """(label, words, best segment, all positive segments) of training documents, out of their fold."""
+    """(label, words, all positive segments) of training documents, out of their fold."""
 
     def run(batches):
         for batch in batches:
@@ -197,7 +197,7 @@ def _score_folds(models):
                 [
                     batch.column("label"),
                     pa.array([n for n, _ in rows], pa.int64()),
-                    pa.array([sorted(s, reverse=True) for _, s in rows], pa.list_(pa.float64())),
+                    pa.array([s for _, s in rows], pa.list_(pa.float64())),
                 ],
                 names=["label", "n", "scores"],
             )
@@ -213,6 +213,14 @@ def _evidence(scores, n: int, rate: float, size: float) -> float:
     return float(above.sum()) if len(above) else float(each.max() if len(each) else -ordinary - 1)
 
 
+def _evidence_column(rate: float, size: float) -> Column:
+    """The same of ``scores`` and ``n``."""
+    ordinary = F.log(F.lit(size) * F.greatest("n", F.lit(1)))
+    each = F.transform("scores", lambda s: F.lit(rate) * s - ordinary)
+    above = F.aggregate(each, F.lit(0.0), lambda total, e: total + F.greatest(e, F.lit(0.0)))
+    return F.when(above > 0, above).otherwise(F.coalesce(F.array_max(each), -ordinary - 1))
+
+
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope (not below 0) and offset of P(y) over x, by damped Newton steps with a small penalty."""
     a, b = 0.0, float(np.log((y.mean() + 1e-4) / (1 - y.mean() + 1e-4)))
@@ -254,15 +262,18 @@ def fit(docs: DataFrame, labels: DataFrame, *, rows: int = SAMPLE_ROWS) -> Model
     terms = [r.asDict() for r in listed]
 
     folds = spark.sparkContext.broadcast([_scores(terms, share, k, DRIFT) for k in range(FOLDS)])
-    seen = sample.mapInArrow(_score_folds(folds), "label int, n long, scores array<double>").collect()
-    ordinary = [r for r in seen if not r["label"]]
-    best = np.array([max(r["scores"], default=0.0) for r in ordinary])
+    # Three numbers of each sample document come to the driver, however many passages it has.
+    seen = stored(sample.mapInArrow(_score_folds(folds), "label int, n long, scores array<double>"))
+    best_score = F.coalesce(F.array_max("scores"), F.lit(0.0)).alias("best")
+    ordinary = seen.where("label = 0").select("n", best_score).collect()
+    best = np.array([r["best"] for r in ordinary])
     lengths = np.array([max(r["n"], 1) for r in ordinary], dtype=float)
     # For exact log-odds lambda is 1. Ordinary documents that score higher than that flatten the tail.
     rate = float(min(1.0, 1.0 / max(best.std() * np.sqrt(6) / np.pi, 1e-9)))
     size = float(len(ordinary) / (lengths * np.exp(-rate * best)).sum())
-    x = np.array([_evidence(r["scores"], r["n"], rate, size) for r in seen])
-    slope, offset = _logistic(x, np.array([r["label"] for r in seen], dtype=float))
+    known = seen.select("label", _evidence_column(rate, size).alias("x")).collect()
+    x, y = (np.array([r[c] for r in known], dtype=float) for c in ("x", "label"))
+    slope, offset = _logistic(x, y)
     return Model(_scores(terms, share, FOLDS, DRIFT), rate, size, slope, offset)
 
 
@@ -280,10 +291,12 @@ def _apply(model):
                 x = _evidence([s for *_, s in found], len(starts), m.rate, m.size)
                 score.append(float(1 / (1 + np.exp(-np.clip(m.slope * x + m.offset, -30, 30)))))
                 kept = []
+                # Characters before each byte: those bytes that do not continue a character.
+                before = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)]) if found else None
                 for first, last, s in found:
                     expected = m.size * len(starts) * np.exp(-m.rate * s)
                     if expected < 1:
-                        a, b = (len(data[:k].tobytes().decode()) for k in (starts[first], ends[last - 1]))
+                        a, b = int(before[starts[first]]), int(before[ends[last - 1]])
                         kept.append({"start": a, "end": b, "score": s, "expected": float(expected)})
                 passages.append(kept)
             done = {"score": pa.array(score, pa.float64()), "passages": pa.array(passages, pa.list_(_PASSAGE))}

@@ -1,8 +1,11 @@
 from __future__ import annotations
 
 import random
+import time
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 from brute import held_out, maximal_segments
 from conftest import documents
 
@@ -114,3 +117,26 @@ def test_given_documents(spark, tables):
     assert right >= 0.9 * len(labels)
     found = queries.QUERIES["op1_toxicity"](spark, "/root/testdata/sf0.001").collect()
     assert sum(r.predicted for r in found if r.doc_id in labels and not labels[r.doc_id].toxic) <= 0.05 * len(labels)
+
+
+def test_very_many_passages_in_one_text(spark):
+    """Spans are in characters, also behind multi-byte ones, and cost no pass over the text each."""
+    text = "ñu é vile aa bb cc dd ee ff gg hh " * 64_000
+    levels = toxicity._levels(np.frombuffer(b"vile", np.uint8))[2]
+    none = (np.zeros(0, np.int64),) * 2
+    scores = toxicity.Scores((levels[0], *none), (np.array([9.0]), *(np.zeros(0),) * 2), -5.0)
+    model = toxicity.Model(scores, 1.0, 1e-9, 1.0, 0.0)
+    held = SimpleNamespace(value=model)
+    batch = pa.RecordBatch.from_pydict({"text": [text, None, ""], "score": [0.0] * 3, "passages": [None] * 3})
+    start = time.monotonic()
+    out = next(toxicity._apply(held)([batch])).to_pydict()
+    assert time.monotonic() - start < 20
+    assert [len(p) for p in out["passages"]] == [64_000, 0, 0]
+    assert all(text[p["start"] : p["end"]] == "vile" for p in out["passages"][0])
+
+
+def test_evidence_as_a_column(spark):
+    cases = [([], 0), ([], 9), ([1.0, 12.5, 30.0], 40), ([0.5, 0.25], 40)]
+    rows = spark.createDataFrame([(k, s, n) for k, (s, n) in enumerate(cases)], "k int, scores array<double>, n long")
+    found = {r.k: r.x for r in rows.select("k", toxicity._evidence_column(0.7, 0.3).alias("x")).collect()}
+    assert np.allclose([found[k] for k in range(4)], [toxicity._evidence(s, n, 0.7, 0.3) for s, n in cases])
