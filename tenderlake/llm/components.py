@@ -9,8 +9,11 @@ from tenderlake.llm.storage import stored
 
 
 def _nearest(links: DataFrame) -> DataFrame:
-    """For each node the smaller of itself and its smallest neighbour (combined before the shuffle)."""
-    return links.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
+    """For each node the smaller of itself and its smallest neighbour (combined before the shuffle).
+
+    Stored, so that the join with it reads both sides from a shuffle and can be split.
+    """
+    return stored(links.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low")))
 
 
 def _fingerprint(links: DataFrame):

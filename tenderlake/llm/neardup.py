@@ -189,7 +189,7 @@ def _open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
         .agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("rows"))
         .where("low != high")
     )
-    return stored(members.join(open_keys.select("key", "rows"), "key"))
+    return stored(members.join(stored(open_keys.select("key", "rows")), "key"))
 
 
 def _listed_pairs(rest: DataFrame, nodes: DataFrame, percent: int, limit: int) -> DataFrame:
@@ -284,7 +284,8 @@ def near_duplicates(docs: DataFrame, *, shingle_words: int = 5, percent: int = 8
 
     keys = nodes.select("node", _keys(chunks).alias("key"))
     shared = keys.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("rows")).where("rows > 1")
-    members = stored(keys.join(shared.select("key", "centre"), "key"))
+    # Here and below aggregates are stored before rows are joined to them: only then is a hot key split.
+    members = stored(keys.join(stored(shared.select("key", "centre")), "key"))
     candidates = (
         members.select("node").distinct().join(nodes, "node").select("node", "row.doc_id", "row.text_key")
     )
@@ -304,7 +305,8 @@ def near_duplicates(docs: DataFrame, *, shingle_words: int = 5, percent: int = 8
 
     joined = nodes.select("node", "set_id", "doc_id").join(labels, "node", "left")
     joined = joined.withColumn("component", F.coalesce("component", "node"))
-    smallest = joined.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    joined = stored(joined)
+    smallest = stored(joined.groupBy("component").agg(F.min("doc_id").alias("component_id")))
     by_set = joined.join(smallest, "component").select("set_id", "component_id")
     columns = ("doc_id", "text_key", "n_shingles", "component_id")
     out = signed.where("set_id is not null").join(by_set, "set_id").select(*columns)

@@ -164,9 +164,11 @@ def shards(docs: DataFrame, *, shards: int = 40) -> DataFrame:
             F.xxhash64(text).alias("hash"),
         )
     )
-    key = ("hash", "size", F.coalesce("text_crc32", F.lit(-1)).alias("check"))
-    groups = rows.groupBy(*key).agg(F.min("doc_id").alias("first"))
-    rows = rows.withColumn("check", F.coalesce("text_crc32", F.lit(-1))).join(groups, ["hash", "size", "check"])
+    rows = rows.withColumn("check", F.coalesce("text_crc32", F.lit(-1)))
+    key = ["hash", "size", "check"]
+    # Stored, so that the join reads both sides from a shuffle and a hot group's rows can be split.
+    groups = stored(rows.groupBy(*key).agg(F.min("doc_id").alias("first")))
+    rows = rows.join(groups, key)
     placed = stored(indexed(rows, ["first", "hash", "check", "size", "doc_id"], "size"))
     ends = stored(
         placed.groupBy("first", "hash", "check", "size")
