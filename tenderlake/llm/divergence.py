@@ -154,10 +154,12 @@ def _by_vectors(
             return None
         places = named.select("i", "term")  # at most VOCABULARY pairs of numbers
         vector = F.unwrap_udt("vector")
-        zipped = F.arrays_zip(vector["indices"].alias("i"), vector["values"].alias("n"))
-        entries = model.transform(own).select("source_key", F.explode(zipped).alias("e"))
+        vectors = model.transform(own).select("source_key", vector["indices"].alias("places"), vector["values"].alias("n"))
+        # Places are exploded alone and the counts looked up, which makes no struct for each entry.
+        entries = vectors.select("source_key", "n", F.posexplode("places").alias("at", "i"))
+        entries = entries.select("source_key", "i", F.get("n", F.col("at")).alias("n"))
         # Keys of numbers only are summed several times faster than with a text among them.
-        sums = entries.groupBy("source_key", F.col("e.i").alias("i")).agg(F.sum("e.n").cast("long").alias("n"))
+        sums = entries.groupBy("source_key", "i").agg(F.sum("n").cast("long").alias("n"))
         sums = sums.join(sources.where(F.col("lang") == lang).select("source", "source_key"), "source_key")
         # Stored language by language, so that the driver holds one vocabulary at a time.
         parts.append(stored(sums.join(F.broadcast(places), "i").select(F.lit(lang).alias("lang"), "source", "term", "n")))
@@ -200,7 +202,7 @@ def source_counts(
     few = len(langs) <= LANGUAGES
     number = F.coalesce(*[F.when(F.col("lang") == x, F.lit(n)) for n, x in enumerate(langs)]) if few and langs else F.lit(0)
     cut = docs.mapInArrow(_terms, "lang string, source string, terms array<string>").withColumn("lang_no", number)
-    cut = stored(cut, "lang_no" if few else None)
+    cut = stored(cut, "lang_no" if few else None, codec="snappy")  # each language is read twice
     occurring = stored(cut.groupBy("lang", "source").agg(F.count("*").alias("docs")).drop("docs"))
     found = _by_vectors(cut, occurring, langs, least) if few else None
     counts, names, sizes = found or _by_join(cut, least)

@@ -10,15 +10,17 @@ from pyspark.sql import functions as F
 from tenderlake.session import shared_folder
 
 
-def stored(df: DataFrame, apart: str | None = None) -> DataFrame:
+def stored(df: DataFrame, apart: str | None = None, codec: str | None = None) -> DataFrame:
     """Compute ``df`` once into a Parquet table below ``spark.checkpoint.dir`` and read it back.
 
     This cuts the lineage: a lost executor costs no more than the tasks that ran on it. The table
-    goes when the driver's JVM ends. Rows of each value of the column ``apart`` get files of their own.
+    goes when the driver's JVM ends. Rows of each value of the column ``apart`` get files of their own. ``codec`` is a
+    Parquet compression other than the session's, for tables that are read several times.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/stored-{uuid.uuid4().hex}"
-    (df.write.partitionBy(apart) if apart else df.write).parquet(path)
+    writer = df.write.partitionBy(apart) if apart else df.write
+    writer.parquet(path, compression=codec)
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     return spark.read.schema(df.schema).parquet(path)
