@@ -322,3 +322,15 @@ def test_mixed_tags_and_large_files(spark, tmp_path, monkeypatch, large):
     assert {r.source_file_hash for r in rows if r.source_file.startswith("mixed")} == {
         hashlib.sha256(path.read_bytes()).hexdigest()
     }
+
+
+def test_files_of_some_size_are_not_one_row(spark, tmp_path):
+    """A row of such a file costs many times its size in the memory of one task."""
+    big = tmp_path / "in/big.atom"
+    X.write(big, X.entry("1", X.folder("A")))
+    big.write_bytes(big.read_bytes() + b" " * (20 << 20))
+    listed = files.list_files(spark, f"{tmp_path}/in")
+    described = files.describe_files(spark, listed)
+    assert "binaryfile" not in described._jdf.queryExecution().toString().lower()
+    found = described.first()
+    assert found.source_file_hash == hashlib.sha256(big.read_bytes()).hexdigest() and len(found.entry_tags) == 1
