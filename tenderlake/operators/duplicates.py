@@ -39,19 +39,29 @@ def duplicate_groups(rows: DataFrame, keys: Sequence[Sequence[str]] = DUPLICATE_
     named by the hash of its smallest record key, ``id_canonico`` by that of its best record
     (see ``standing``). Rows repeated with the same record key count as one record. A record
     without partners is a group of its own and moves only in the last join.
+
+    Links are found between numbers of rows; the record key is one more key there, so that repeated
+    rows fall into one group.
     """
-    rows = rows.withColumn("_record", record_key())
-    narrow = rows.select("_record", standing().alias("standing"), *sorted({c for key in keys for c in key}))
-    groups = linked_groups(key_links(narrow, "_record", keys)).toDF("_record", "root")
-    placed = written(narrow.select("_record", "standing").distinct().join(groups, "_record"))
+    parts = [F.col(c) for c in ("source", "updated", "estado", "entry_id", "source_file_hash")]
+    columns = sorted({c for key in keys for c in key} | {"source", "updated", "estado", "entry_id", "source_file_hash"})
+    narrow = written(rows.select(F.monotonically_increasing_id().alias("_n"), *columns))
+    own_key = narrow.withColumn("_record", record_key())
+    groups = written(linked_groups(key_links(own_key, "_n", [*keys, ("_record",)])).toDF("_n", "_group"))
+    placed = narrow.select("_n", *parts).join(groups, "_n")
+    placed = written(placed.select("_group", record_key().alias("_record"), standing().alias("standing")).distinct())
     # One row for each group, combined before the shuffle; stored, so that a large group can be split.
     best = written(
-        placed.groupBy("root").agg(
-            F.max(F.struct("standing", "_record")).getField("_record").alias("best"), F.count("*").alias("dup_rows")
+        placed.groupBy("_group").agg(
+            F.min("_record").alias("_root"),
+            F.max(F.struct("standing", "_record")).getField("_record").alias("_best"),
+            F.max("_record").alias("_last"),
+            F.count("*").alias("_rows"),
         )
     )
-    decided = written(placed.select("_record", "root").distinct().join(best, "root"))
-    decided = decided.toDF("_root", "_record", "_best", "_rows")  # names that the rows do not have
+    best = best.where("_root < _last").drop("_last")  # rows of one record are no group
+    decided = written(placed.select("_record", "_group").distinct().join(best, "_group").drop("_group"))
+    rows = rows.withColumn("_record", record_key())
     own = F.col("_record")
     return rows.join(decided, "_record", "left").select(
         *[F.col(c) for c in rows.columns if c != "_record"],

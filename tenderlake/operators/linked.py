@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tenderlake.session import written
 
@@ -14,18 +15,19 @@ def key_links(rows: DataFrame, record: str, keys: Sequence[Sequence[str]]) -> Da
     """Links (a, b) from each record to the smallest record that shares one of the keys with it.
 
     A key with a missing part links nothing. A key of n records gives n - 1 links to its smallest
-    record, found by a minimum that is combined before the shuffle.
+    record, found by a minimum that is combined before the shuffle. Keys travel as 128-bit digests; with
+    records that are numbers, rows stay narrow and nothing is sorted for the minimum.
     """
     each = [
         F.when(
             _complete(key),
-            F.struct(F.lit(n).alias("key_no"), F.to_json(F.struct(*[F.col(c) for c in key])).alias("key")),
+            F.unhex(F.md5(F.concat(F.lit(f"{n} "), F.to_json(F.struct(*[F.col(c) for c in key]))))),
         )
         for n, key in enumerate(keys)
     ]
-    keyed = rows.select(F.col(record).alias("a"), F.explode(F.array_compact(F.array(*each))).alias("k")).select("a", "k.*")
-    hubs = keyed.groupBy("key_no", "key").agg(F.min("a").alias("b"), F.max("a").alias("last")).where("b < last")
-    return keyed.join(written(hubs.drop("last")), ["key_no", "key"]).where("a != b").select("a", "b").distinct()
+    keyed = rows.select(F.col(record).alias("a"), F.explode(F.array_compact(F.array(*each))).alias("key"))
+    hubs = keyed.groupBy("key").agg(F.min("a").alias("b"), F.max("a").alias("last")).where("b < last")
+    return keyed.join(written(hubs.drop("last")), "key").where("a != b").select("a", "b").distinct()
 
 
 def _complete(key: Sequence[str]) -> Column:
@@ -41,23 +43,36 @@ def _lowest(links: DataFrame) -> DataFrame:
     Stored, so that the join back reads both sides from a shuffle and a node with very many
     neighbours can be split over tasks.
     """
-    return written(links.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low")))
+    return written(links.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low")))
 
 
 def _state(links: DataFrame):
     return links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
 
 
+def _numbered(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges between texts as edges between numbers in the order of the texts, and the numbers' names."""
+    nodes = edges.select("a").unionByName(edges.select(F.col("b").alias("a"))).distinct()
+    # Numbers follow the sort: they grow from partition to partition, and within each.
+    names = written(nodes.orderBy("a").select(F.col("a").alias("name"), F.monotonically_increasing_id().alias("n")))
+    for side in ("a", "b"):
+        edges = edges.join(names.toDF(side, f"{side}_n"), side)
+    return edges.select(F.col("a_n").alias("a"), F.col("b_n").alias("b")), names
+
+
 def linked_groups(links: DataFrame) -> DataFrame:
     """Links (a, b) to (record, root): the smallest record that can be reached.
 
     Alternating stars: first every node's larger neighbours are hung on the smallest record among
     the node and its neighbours, then its smaller ones. The number of rounds grows with the
     logarithm of the longest chain, and links and roots stay distributed. Records without a link to
-    another are left out; nulls link nothing.
+    another are left out; nulls link nothing. Texts are numbered for the rounds.
     """
     edges = links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges, before = written(edges), None
+    edges, before, names = written(edges), None, None
+    if isinstance(edges.schema["a"].dataType, StringType):
+        edges, names = _numbered(edges)
+        edges = written(edges)
     while (now := _state(edges)) != before:
         before = now
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -69,4 +84,10 @@ def linked_groups(links: DataFrame) -> DataFrame:
         )
         edges = written(small.where("a != b").distinct())
     roots = edges.select(F.col("b").alias("record")).distinct().withColumn("root", F.col("record"))
-    return edges.toDF("record", "root").unionByName(roots)
+    found = edges.toDF("record", "root").unionByName(roots)
+    if names is None:
+        return found
+    found = found.toDF("record_n", "root_n")
+    for side in ("record", "root"):
+        found = found.join(names.toDF(side, f"{side}_n"), f"{side}_n")
+    return found.select("record", "root")

@@ -216,3 +216,19 @@ def test_similar_groups(spark):
 def test_texts_must_have_enough_grams(spark):
     with pytest.raises(ValueError, match="too few"):
         similar.similar_pairs(similar.subject_classes(similar_rows(spark, [])), percent=50)
+
+
+def test_rounds_and_links_carry_numbers(spark, monkeypatch):
+    """Record keys are long texts; only rows of groups carry them between tasks, not each link."""
+    from tenderlake.operators import duplicates, linked
+
+    rows = contracts(spark, [row("a", id_origen="1", org_id="o"), row("b", id_origen="1", org_id="o"), row("c")] * 2)
+    kinds = []
+    monkeypatch.setattr(duplicates, "linked_groups", lambda links: kinds.append(links.dtypes) or linked_groups(links))
+    monkeypatch.setattr(linked, "_state", lambda edges, state=linked._state: kinds.append(edges.dtypes) or state(edges))
+    found = duplicate_groups(rows).collect()
+    assert {(r.entry_id, r.dup_rows, r.is_canonical) for r in found} == {("ea", 2, False), ("eb", 2, True), ("ec", 1, True)}
+    pairs = [("x", "y"), ("z", "y"), ("u", "v")]
+    groups = linked.linked_groups(spark.createDataFrame(pairs, "a string, b string"))
+    assert {tuple(r) for r in groups.collect()} == {("x", "x"), ("y", "x"), ("z", "x"), ("u", "u"), ("v", "u")}
+    assert {kind for pair in kinds for _, kind in pair} == {"bigint"}
