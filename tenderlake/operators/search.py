@@ -28,13 +28,13 @@ def search_index(silver: DataFrame, manifest: DataFrame) -> DataFrame:
     The file in the folder of the contract's year is preferred, any file of that name comes next.
     The manifest is reduced to one row per (source, file name, year folder) and stored, as it is
     joined by year and by name; both keys are unique, so a repeated file name adds no rows, and a name
-    that every folder has is many small rows instead of one large one.
+    that every folder has is many small rows instead of one large one. Distinct rows are stored before the
+    minimum: Spark drops a distinct below a minimum, and a minimum of texts sorts all rows it is given.
     """
-    per_year = written(
-        manifest.groupBy("source", F.col("basename").alias("source_file"), F.col("year_folder").alias("year")).agg(
-            F.min("relpath").alias("_same_year")
-        )
+    files = written(
+        manifest.select("source", F.col("basename").alias("source_file"), F.col("year_folder").alias("year"), "relpath").distinct()
     )
+    per_year = written(files.groupBy("source", "source_file", "year").agg(F.min("relpath").alias("_same_year")))
     per_name = written(per_year.groupBy("source", "source_file").agg(F.min("_same_year").alias("_anywhere")))
     found = silver.join(per_year.where("year is not null"), ["source", "source_file", "year"], "left")
     found = found.join(per_name, ["source", "source_file"], "left")
