@@ -61,21 +61,23 @@ def subject_classes(contracts: DataFrame) -> DataFrame:
     return classes.withColumn("clase", class_name())
 
 
-def class_name() -> Column:
-    return F.sha2(F.concat_ws("|", "ccaa", F.col("year").cast("string"), F.col("tramo").cast("string"), "texto"), 256)
+def class_name(band: str = "tramo", text: str = "texto") -> Column:
+    return F.sha2(F.concat_ws("|", "ccaa", F.col("year").cast("string"), F.col(band).cast("string"), text), 256)
 
 
 def _ordered_grams(texts: DataFrame) -> DataFrame:
-    """texto with its numbered grams, rarest first: an array of (n, gram)."""
+    """texto with its numbered grams, rarest first: an array of the grams' ranks."""
     places = F.sequence(F.lit(1), F.length("texto") - (Q - 1))
     pieces = F.transform(places, lambda i: F.substring(F.col("texto"), i, F.lit(Q)))
     counted = texts.where(F.length("texto") >= Q).select("texto", F.explode(pieces).alias("piece"))
     counted = counted.groupBy("texto", "piece").agg(F.count("*").alias("times"))
     each = F.transform(F.sequence(F.lit(1), F.col("times").cast("int")), lambda i: F.concat("piece", i.cast("string")))
     grams = written(counted.select("texto", F.explode(each).alias("gram")))
-    often = written(grams.groupBy("gram").agg(F.count("*").alias("n")))
+    often = grams.groupBy("gram").agg(F.count("*").alias("n"))
+    # Numbers follow the sort, so they compare as (n, gram) does; rows carry them instead of the texts.
+    ranks = written(often.orderBy("n", "gram").select("gram", F.monotonically_increasing_id().alias("rank")))
     # A text of n letters has n - 1 of them, whatever the number of texts.
-    return grams.join(often, "gram").groupBy("texto").agg(F.sort_array(F.collect_list(F.struct("n", "gram"))).alias("grams"))
+    return grams.join(ranks, "gram").groupBy("texto").agg(F.sort_array(F.collect_list("rank")).alias("grams"))
 
 
 def similar_pairs(classes: DataFrame, percent: int = 85, hot: int = HOT) -> DataFrame:
@@ -90,7 +92,7 @@ def similar_pairs(classes: DataFrame, percent: int = 85, hot: int = HOT) -> Data
     ordered = written(_ordered_grams(classes.select("texto").distinct()))
     edits = _edits(F.length("texto"), percent)
     # A text that allows no edit is like no other text.
-    placed = classes.join(ordered, "texto").where(edits > 0)
+    placed = classes.drop("clase", "registros").join(ordered, "texto").where(edits > 0)
     placed = placed.withColumn("grams", F.slice("grams", F.lit(1), Q * edits + 2))
     single = placed.select("*", F.posexplode("grams").alias("at", "gram")).where(F.col("at") <= Q * edits)
     single = written(single)
@@ -99,7 +101,7 @@ def similar_pairs(classes: DataFrame, percent: int = 85, hot: int = HOT) -> Data
     both = met.unionByName(met.withColumn("band", F.col("band") + 1)).groupBy("ccaa", "year", "band", "gram")
     crowded = written(both.agg(F.sum("n").alias("n")).where(F.col("n") > hot).drop("n").withColumn("crowded", F.lit(True)))
 
-    none = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit("").alias("gram"))
+    none = F.lit(-1).cast("bigint")
 
     def keyed(rows: DataFrame, side: str) -> DataFrame:
         """Rows under their gram, and under pairs of grams where that is crowded."""
@@ -107,7 +109,7 @@ def similar_pairs(classes: DataFrame, percent: int = 85, hot: int = HOT) -> Data
         later = F.when(F.col("crowded"), F.slice("grams", F.col("at") + 2, F.size("grams"))).otherwise(F.array(none))
         return marked.select(
             "ccaa", "year", "band", "gram", F.explode(later).alias("second"),
-            *[F.col(c).alias(f"{side}_{c}") for c in ("clase", "texto", "grams", "tramo")],
+            *[F.col(c).alias(f"{side}_{c}") for c in ("texto", "grams", "tramo")],
         )
 
     upper = keyed(single.withColumn("band", F.col("tramo")), "x")
@@ -115,14 +117,16 @@ def similar_pairs(classes: DataFrame, percent: int = 85, hot: int = HOT) -> Data
     shared = F.array_intersect("x_grams", "y_grams")
     longest = F.greatest(F.length("x_texto"), F.length("y_texto"))
     shortest = F.least(F.length("x_texto"), F.length("y_texto"))
-    once = (F.col("x_tramo") > F.col("y_tramo")) | (F.col("x_clase") < F.col("y_clase"))
+    once = (F.col("x_tramo") > F.col("y_tramo")) | (F.col("x_texto") < F.col("y_texto"))
     found = upper.join(lower, ["ccaa", "year", "band", "gram", "second"]).where(
         once & (F.col("x_texto") != F.col("y_texto")) & (longest * percent <= shortest * 100)
-        & (shared[0] == F.col("gram")) & ((F.col("second.n") == 0) | (F.get(shared, F.lit(1)) == F.col("second")))
+        & (shared[0] == F.col("gram")) & ((F.col("second") == none) | (F.get(shared, F.lit(1)) == F.col("second")))
     )
     allowed = F.floor(longest * (100 - percent) / 100).cast("int")
     found = found.withColumn("distancia", F.levenshtein("x_texto", "y_texto")).where(F.col("distancia") <= allowed)
-    pairs = same.unionByName(found.select(F.col("x_clase").alias("x"), F.col("y_clase").alias("y"), "distancia"))
+    # Long names are made of the links alone; candidates carry none.
+    names = [class_name(f"{side}_tramo", f"{side}_texto").alias(side) for side in ("x", "y")]
+    pairs = same.unionByName(found.select(*names, "distancia"))
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "distancia")
 
 
