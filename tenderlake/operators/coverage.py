@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tenderlake.schema import RECORD_FIELDS
 from tenderlake.sources.versions import read_or_empty
@@ -16,27 +17,36 @@ FIELDS = tuple(RECORD_FIELDS)
 COUNTS_SCHEMA = "source string, year bigint, batch string, filled array<bigint>, rows bigint"
 
 
-def _is_filled(field: str) -> Column:
-    """Neither null nor blank."""
-    return F.col(field).isNotNull() & (F.btrim(F.col(field).cast("string")) != "")
+def _text_filled(field: str) -> Column:
+    """Neither null nor blank. The value stands here once, as Spark works it out as often as it is named."""
+    return F.coalesce(F.btrim(F.col(field).cast("string")) != "", F.lit(False))
 
 
-def filled_bits(fields: Sequence[str] = FIELDS) -> Column:
-    """A number whose bit n says that field n is filled; up to 63 fields."""
+def _is_filled(rows: DataFrame, fields: Sequence[str]) -> list[Column]:
+    """The same for each field of rows; other types than texts are never blank."""
+    kinds = [s.dataType for s in rows.select(*fields).schema.fields]
+    texts = (T.StringType, T.BinaryType)
+    return [_text_filled(f) if isinstance(k, texts) else F.col(f).isNotNull() for f, k in zip(fields, kinds)]
+
+
+def filled_bits(fields: Sequence[str] = FIELDS, filled: Sequence[Column] | None = None) -> Column:
+    """A number whose bit n says that field n is filled; up to 63 fields. ``filled`` is given where the
+    types of the fields are known."""
     if len(fields) > 63:
         raise ValueError(f"{len(fields)} fields do not fit into one number")
-    bits = [F.when(_is_filled(f), F.lit(1 << n).cast("bigint")).otherwise(0) for n, f in enumerate(fields)]
+    if filled is None:
+        filled = [_text_filled(f) for f in fields]
+    bits = [F.when(f, F.lit(1 << n).cast("bigint")).otherwise(0) for n, f in enumerate(filled)]
     return reduce(Column.bitwiseOR, bits)
 
 
 def with_coverage(rows: DataFrame, fields: Sequence[str] = FIELDS) -> DataFrame:
     """Adds ``cobertura_bits``, ``n_campos`` (how many are filled) and ``coverage_flags``, a JSON
     object of the empty fields."""
-    empty = F.filter(
-        F.array(*[F.when(~_is_filled(f), F.lit(f)) for f in fields]), lambda f: f.isNotNull()
-    )
+    filled = _is_filled(rows, fields)
+    empty = F.filter(F.array(*[F.when(~c, F.lit(f)) for f, c in zip(fields, filled)]), lambda f: f.isNotNull())
     flags = F.to_json(F.map_from_arrays(empty, F.transform(empty, lambda _: F.lit(True))))
-    return rows.withColumns({"cobertura_bits": filled_bits(fields), "coverage_flags": flags}).withColumn(
+    return rows.withColumns({"cobertura_bits": filled_bits(fields, filled), "coverage_flags": flags}).withColumn(
         "n_campos", F.bit_count("cobertura_bits").cast("bigint")
     )
 
@@ -46,7 +56,7 @@ def coverage_counts(rows: DataFrame, fields: Sequence[str] = FIELDS) -> DataFram
 
     One pass of conditional counts, combined before the shuffle.
     """
-    counts = [F.count_if(_is_filled(f)) for f in fields]
+    counts = [F.count(F.when(c, 1)) for c in _is_filled(rows, fields)]
     return rows.groupBy("source", "year").agg(F.array(*counts).alias("filled"), F.count("*").alias("rows"))
 
 
