@@ -50,9 +50,14 @@ def rules_of(mapping: Mapping) -> list[Rule]:
 # ---- transforms
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)``, with the value worked out once for a row however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def tax_id(c: Column) -> Column:
     """Upper case without blanks and signs."""
-    return F.nullif(F.regexp_replace(F.upper(c), "[^0-9A-Z]", ""), F.lit(""))
+    return bound(F.regexp_replace(F.upper(c), "[^0-9A-Z]", ""), lambda text: F.when(text != "", text))
 
 
 def of_person(nif: Column) -> Column:
@@ -63,41 +68,50 @@ def of_person(nif: Column) -> Column:
 
 def pseudonym(nif: Column, salt: str) -> Column:
     """Tax ids of natural persons replaced by a salted hash; those of companies stay."""
-    hidden = F.concat(F.lit("P-"), F.substring(F.sha2(F.concat(F.lit(salt), nif), 256), 1, 32))
-    return F.when(of_person(nif), hidden).otherwise(nif)
+
+    def hidden(nif: Column) -> Column:
+        return F.concat(F.lit("P-"), F.substring(F.sha2(F.concat(F.lit(salt), nif), 256), 1, 32))
+
+    return bound(nif, lambda n: F.when(of_person(n), hidden(n)).otherwise(n))
 
 
 def iso_date(c: Column) -> Column:
     """ISO date of a date or time stamp text, year or day first; NULL for other texts and days that
     do not exist."""
-    text = clean(c)
-    year_first = F.regexp_extract(text, r"^(\d{4})[-/](\d{1,2})[-/](\d{1,2})(?:[T ].*)?$", 0) != ""
-    parts = F.split(F.regexp_extract(text, r"^[0-9/-]+", 0), "[-/]")
-    day_first = F.regexp_extract(text, r"^(\d{1,2})[-/](\d{1,2})[-/](\d{4})(?:[T ].*)?$", 0) != ""
-    compact = text.rlike(r"^\d{8}$")
 
     def date(y: Column, m: Column, d: Column) -> Column:
         joined = F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0"))
-        return F.when(joined.try_cast("date").isNotNull(), joined)
+        return bound(joined, lambda text: F.when(text.try_cast("date").isNotNull(), text))
 
-    part = lambda n: F.get(parts, F.lit(n))
-    return (
-        F.when(year_first, date(part(0), part(1), part(2)))
-        .when(day_first, date(part(2), part(1), part(0)))
-        .when(compact, date(F.substring(text, 1, 4), F.substring(text, 5, 2), F.substring(text, 7, 2)))
-    )
+    def of_parts(text: Column, year: int, day: int) -> Column:
+        parts = F.split(F.regexp_extract(text, r"^[0-9/-]+", 0), "[-/]")
+        return bound(parts, lambda p: date(F.get(p, F.lit(year)), F.get(p, F.lit(1)), F.get(p, F.lit(day))))
+
+    def of(text: Column) -> Column:
+        return (
+            F.when(text.rlike(r"^(\d{4})[-/](\d{1,2})[-/](\d{1,2})(?:[T ].*)?$"), of_parts(text, 0, 2))
+            .when(text.rlike(r"^(\d{1,2})[-/](\d{1,2})[-/](\d{4})(?:[T ].*)?$"), of_parts(text, 2, 0))
+            .when(text.rlike(r"^\d{8}$"), date(F.substring(text, 1, 4), F.substring(text, 5, 2), F.substring(text, 7, 2)))
+        )
+
+    return bound(clean(c), of)
 
 
 def amount(c: Column) -> Column:
     """Number from a numeric column, or from text with a decimal comma or point; points that can only
     mark thousands are left out ("1.234" has a decimal point, "1.234.567" and "1.234,5" have none)."""
+
+    def plain(text: Column) -> Column:
+        comma = text.rlike(r"^[+-]?\d{1,3}(\.\d{3})*,\d+$|^[+-]?\d+,\d+$")
+        marked = text.rlike(r"^[+-]?\d{1,3}(\.\d{3}){2,}$")
+        return (
+            F.when(comma, F.replace(F.replace(text, F.lit("."), F.lit("")), F.lit(","), F.lit(".")))
+            .when(marked, F.replace(text, F.lit("."), F.lit("")))
+            .otherwise(text)
+        )
+
     text = F.regexp_replace(c.cast("string"), "[\\s€]|EUR", "")
-    comma = text.rlike(r"^[+-]?\d{1,3}(\.\d{3})*,\d+$|^[+-]?\d+,\d+$")
-    marked = text.rlike(r"^[+-]?\d{1,3}(\.\d{3}){2,}$")
-    plain = F.when(comma, F.replace(F.replace(text, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).when(
-        marked, F.replace(text, F.lit("."), F.lit(""))
-    )
-    return lenient_double(F.coalesce(plain, text))
+    return bound(bound(text, plain), lenient_double)
 
 
 def ine_region(nuts: Column) -> Column:
