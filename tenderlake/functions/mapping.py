@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tenderlake.functions.contract import lookup
-from tenderlake.functions.text import clean, lenient_double
+from tenderlake.functions.text import lenient_double, trim
 from tenderlake.schema import INE_OF_NUTS2, LAST_YEAR
 
 OPEN_END = 9999
@@ -55,6 +55,11 @@ def bound(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def trimmed(c: Column) -> Column:
+    """As ``clean``, which names its trimmed text twice."""
+    return bound(trim(c), lambda text: F.when(text != "", text))
+
+
 def tax_id(c: Column) -> Column:
     """Upper case without blanks and signs."""
     return bound(F.regexp_replace(F.upper(c), "[^0-9A-Z]", ""), lambda text: F.when(text != "", text))
@@ -94,7 +99,7 @@ def iso_date(c: Column) -> Column:
             .when(text.rlike(r"^\d{8}$"), date(F.substring(text, 1, 4), F.substring(text, 5, 2), F.substring(text, 7, 2)))
         )
 
-    return bound(clean(c), of)
+    return bound(trim(c), of)
 
 
 def amount(c: Column) -> Column:
@@ -116,14 +121,14 @@ def amount(c: Column) -> Column:
 
 def ine_region(nuts: Column) -> Column:
     """INE number of the region that a NUTS code lies in; NULL for other codes."""
-    return lookup(INE_OF_NUTS2, F.substring(F.upper(clean(nuts)), 1, 4))
+    return lookup(INE_OF_NUTS2, F.substring(F.upper(trimmed(nuts)), 1, 4))
 
 
 def transforms(salt: str) -> dict[str, Callable[[Column], Column]]:
     """What rules may name; ``salt`` goes into pseudonyms."""
     text = lambda c: c.cast("string")
     return {
-        "trim": lambda c: clean(text(c)),
+        "trim": lambda c: trimmed(text(c)),
         "amount": amount,
         "date_iso": lambda c: iso_date(text(c)),
         "nif": lambda c: tax_id(text(c)),
