@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tenderlake.functions.contract import lookup, status_rank
-from tenderlake.operators.linked import key_links, linked_groups
+from tenderlake.operators.linked import key_links, linked_groups, sharing
+from tenderlake.operators.marks import bit_blocks, marked
 from tenderlake.schema import DUPLICATE_KEYS, SOURCE_PRIORITY
-from tenderlake.session import written
+from tenderlake.session import scratch, written
 
 MERGED_FIELDS = (
     "objeto", "organo_nombre", "tipo_contrato", "cpv", "territorio_code", "importe", "fecha_adjudicacion",
@@ -40,36 +41,51 @@ def duplicate_groups(rows: DataFrame, keys: Sequence[Sequence[str]] = DUPLICATE_
     (see ``standing``). Rows repeated with the same record key count as one record. A record
     without partners is a group of its own and moves only in the last join.
 
-    Links are found between numbers of rows; the record key is one more key there, so that repeated
-    rows fall into one group.
+    Rows are stored once with a number. Hashes of the keys tell which may have a partner; only those move, and
+    links are found between their numbers. The record key is one more key there, so that repeated rows fall
+    into one group. What comes between is removed at the end.
     """
-    parts = [F.col(c) for c in ("source", "updated", "estado", "entry_id", "source_file_hash")]
-    columns = sorted({c for key in keys for c in key} | {"source", "updated", "estado", "entry_id", "source_file_hash"})
-    narrow = written(rows.select(F.monotonically_increasing_id().alias("_n"), *columns))
-    own_key = narrow.withColumn("_record", record_key())
-    groups = written(linked_groups(key_links(own_key, "_n", [*keys, ("_record",)])).toDF("_n", "_group"))
-    placed = narrow.select("_n", *parts).join(groups, "_n")
-    placed = written(placed.select("_group", record_key().alias("_record"), standing().alias("standing")).distinct())
-    # One row for each group, combined before the shuffle; stored, so that a large group can be split.
-    best = written(
-        placed.groupBy("_group").agg(
+    parts = ("source", "updated", "estado", "entry_id", "source_file_hash")
+    linked_by = [*keys, ("_record",)]
+    columns = sorted({c for key in keys for c in key} | {*parts})
+    stored = written(rows.withColumn("_n", F.monotonically_increasing_id()), kept=True)
+    with scratch(rows.sparkSession):
+        numbers = sharing(stored.select("_n", *columns).withColumn("_record", record_key()), "_n", linked_by)
+        blocks = written(bit_blocks(numbers, "_n"), kept=True)
+        narrow = written(marked(stored, blocks, "_n", "_shared").where("_shared").select("_n", *columns))
+        groups = key_links(narrow.withColumn("_record", record_key()), "_n", linked_by)
+        groups = written(linked_groups(groups).toDF("_n", "_group"))
+        placed = narrow.select("_n", *parts).join(groups, "_n")
+        placed = placed.select("_group", record_key().alias("_record"), standing().alias("standing")).distinct()
+        # One row for each group, combined before the shuffle; stored, so that a large group can be split.
+        best = placed.groupBy("_group").agg(
             F.min("_record").alias("_root"),
             F.max(F.struct("standing", "_record")).getField("_record").alias("_best"),
             F.max("_record").alias("_last"),
             F.count("*").alias("_rows"),
         )
+        best = best.where("_root < _last")  # rows of one record are no group
+        best = written(best.select("_group", _digest(F.col("_root")).alias("_root"), _digest(F.col("_best")).alias("_best"), "_rows"))
+        decided = written(groups.join(best, "_group").drop("_group"), kept=True)
+    rows = marked(stored, blocks, "_n", "_shared").withColumn("_own", _digest(record_key()))
+    own = [c for c in stored.columns if c != "_n"]
+    one = F.lit(1).cast("bigint")
+    alone = rows.where("not _shared").select(*own, *_named(F.col("_own"), one, F.col("_own")), F.lit(True).alias("is_canonical"))
+    best = F.coalesce("_best", "_own")
+    shared = rows.where("_shared").join(decided, "_n", "left").select(
+        *own, *_named(F.coalesce("_root", "_own"), F.coalesce("_rows", one), best), (best == F.col("_own")).alias("is_canonical")
     )
-    best = best.where("_root < _last").drop("_last")  # rows of one record are no group
-    decided = written(placed.select("_record", "_group").distinct().join(best, "_group").drop("_group"))
-    rows = rows.withColumn("_record", record_key())
-    own = F.col("_record")
-    return rows.join(decided, "_record", "left").select(
-        *[F.col(c) for c in rows.columns if c != "_record"],
-        F.sha2(F.coalesce("_root", own), 256).alias("dup_group_id"),
-        F.coalesce("_rows", F.lit(1)).cast("bigint").alias("dup_rows"),
-        F.sha2(F.coalesce("_best", own), 256).alias("id_canonico"),
-        (F.coalesce("_best", own) == own).alias("is_canonical"),
-    )
+    return alone.unionByName(shared)
+
+
+def _digest(text: Column) -> Column:
+    """SHA-256 as bytes: half as long on the way as the digits that are shown."""
+    return F.unhex(F.sha2(text, 256))
+
+
+def _named(group: Column, rows: Column, best: Column) -> list[Column]:
+    shown = lambda digest: F.lower(F.hex(digest))
+    return [shown(group).alias("dup_group_id"), rows.alias("dup_rows"), shown(best).alias("id_canonico")]
 
 
 def merged_contracts(grouped: DataFrame, fields: Sequence[str] = MERGED_FIELDS) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -30,6 +30,24 @@ def key_links(rows: DataFrame, record: str, keys: Sequence[Sequence[str]]) -> Da
     return keyed.join(written(hubs.drop("last")), "key").where("a != b").select("a", "b").distinct()
 
 
+CROWD = 200_000  # rows from which on those of a key are not brought together to be counted
+
+
+def sharing(rows: DataFrame, record: str, keys: Sequence[Sequence[str]], crowd: int = CROWD) -> DataFrame:
+    """Numbers of all records that share one of the keys with another, and perhaps of a few more; numbers may repeat.
+
+    Keys travel as 64-bit hashes with the numbers alone. Hashes that very many records have count as shared
+    without being brought together.
+    """
+    each = [F.when(_complete(key), F.xxhash64(F.lit(n), *[F.col(c) for c in key])) for n, key in enumerate(keys)]
+    keyed = rows.select(F.col(record), F.explode(F.array_compact(F.array(*each))).alias("_key"))
+    (common,) = keyed.agg(F.expr("approx_top_k(_key, 100, 10000)")).first()
+    heavy = F.col("_key").isin([r.item for r in common if r["count"] >= crowd])
+    same = Window.partitionBy("_key").orderBy(record)
+    met = keyed.where(~heavy).select(record, F.row_number().over(same).alias("_rn"), F.lead(record).over(same).alias("_next"))
+    return met.where("_rn > 1 or _next is not null").select(record).unionByName(keyed.where(heavy).select(record))
+
+
 def _complete(key: Sequence[str]) -> Column:
     out = F.lit(True)
     for c in key:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tenderlake import schema as S
 from tenderlake.operators import canonical as C
+from tenderlake.operators import marks as M
 from tenderlake.session import scratch, written
 
 
@@ -61,11 +62,11 @@ def test_only_rows_that_share_a_key_move(spark):
 
 def test_numbers_as_bits(spark):
     numbers = [0, 1, 63, 64, 32767, 32768, 5_000_000_063, (3 << 33) + 7]
-    blocks = C.bit_blocks(spark.createDataFrame([(n,) for n in numbers], "n bigint"), "n")
+    blocks = M.bit_blocks(spark.createDataFrame([(n,) for n in numbers], "n bigint"), "n")
     asked = spark.createDataFrame([(n + d,) for n in numbers for d in (-1, 0, 1) if n + d >= 0], "n bigint").distinct()
-    found = C._marked(asked, blocks, "n", "is_in").collect()
+    found = M.marked(asked, blocks, "n", "is_in").collect()
     assert {r.n for r in found if r.is_in} == set(numbers) and not any(r.is_in is None for r in found)
-    assert C.bit_blocks(spark.createDataFrame([], "n bigint"), "n").count() == 0
+    assert M.bit_blocks(spark.createDataFrame([], "n bigint"), "n").count() == 0
 
 
 def test_scratch_tables_go(spark):
