@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import random
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import functions as F
 
@@ -75,3 +76,10 @@ def test_scratch_tables_go(spark):
         gone, kept = place(written(spark.range(3))), place(written(spark.range(4), kept=True))
         assert os.path.exists(gone)
     assert not os.path.exists(gone) and os.path.exists(kept)
+
+
+def test_scratch_tables_of_other_threads_stay(spark):
+    place = lambda df: os.path.dirname(df.inputFiles()[0].removeprefix("file://"))
+    with ThreadPoolExecutor(1) as other, scratch(spark):
+        theirs = place(other.submit(lambda: written(spark.range(3))).result())
+    assert os.path.exists(theirs)
